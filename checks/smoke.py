@@ -1,0 +1,7 @@
+import sys, time
+from pyspark.sql import SparkSession
+def session():
+    return (SparkSession.builder.master("local[8]").appName("checks")
+      .config("spark.sql.shuffle.partitions","8").config("spark.sql.session.timeZone","UTC")
+      .config("spark.driver.memory","16g").config("spark.ui.enabled","false")
+      .config("spark.sql.execution.arrow.pyspark.enabled","true").getOrCreate())
