@@ -23,11 +23,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores where the files alone would give fewer tasks."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def raw_products(spark: SparkSession, folder: str) -> DataFrame:
     """Four text cells per part."""
     key = F.col("p_partkey").cast("string")
     size = F.col("p_size").cast("string")
-    return table(spark, folder, "part").select(
+    return spread(table(spark, folder, "part")).select(
         key.alias("ste_id"),
         F.concat(
             F.col("p_name"), F.lit(" "), F.upper(F.left("p_type", F.lit(2))), F.lit("-"), key,
@@ -47,7 +53,7 @@ def products(spark: SparkSession, folder: str) -> DataFrame:
 
 def raw_contracts(spark: SparkSession, folder: str) -> DataFrame:
     """Eleven cells per order line, and ``updated_at``: the order in which lines arrived."""
-    lines = table(spark, folder, "lineitem")
+    lines = spread(table(spark, folder, "lineitem"))
     orders = table(spark, folder, "orders")
     regions = table(spark, folder, "nation").join(
         table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey")

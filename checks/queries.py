@@ -13,7 +13,7 @@ from checks import oracle
 from quarry.functions import constants as K
 from quarry.functions import text, weights
 from quarry.operators import (
-    catalog, evaluation, facets, feed, index, profiles, query_facets, ranking, scoring, signals,
+    catalog, evaluation, facets, feed, index, profiles, query_facets, ranking, signals,
     spelling, understanding, vocabulary,
 )
 from quarry.operators.scoring import Overlay
@@ -504,10 +504,10 @@ def corpus_search(spark, d):
     )
     keyed = asked.select(
         "query_id", F.slice(F.array_distinct("words"), 1, index.MAX_TERMS).alias("terms")
-    ).withColumn("search", F.array_join("terms", " "))
-    found = index.hits(keyed, corpus_index(spark, d))
-    best = index.best_hits(found, 10).join(index.count_hits(found).drop("level"), "search")
-    return keyed.join(best, "search").select(
+    )
+    searches = index.distinct_searches(keyed)
+    best = index.best_hits(searches, corpus_index(spark, d), 10)
+    return keyed.join(searches, "terms").join(best, "search").select(
         F.col("query_id").alias("item_id"), F.col("doc").alias("doc_id"),
         F.round("bm25", 6).alias("bm25"), F.col("level").cast("int").alias("level"),
         "hit_count", F.col("hit_rank").cast("bigint").alias("hit_rank"),
@@ -527,8 +527,9 @@ def bm25_search(spark, d):
 @query("SELECT DISTINCT query_id, level, hit_count FROM c_levelled")
 def hit_counts(spark, d):
     keyed = index.search_keys(understood(spark, d))
-    counted = index.count_hits(index.hits(keyed, search_tables(spark, d).index))
-    return keyed.join(counted, "search").select(
+    searches = index.distinct_searches(keyed)
+    counted = index.count_hits(index.best_hits(searches, search_tables(spark, d).index, 1))
+    return keyed.join(searches, "terms").join(counted, "search").select(
         "query_id", F.col("level").cast("int").alias("level"), "hit_count"
     )
 
@@ -715,7 +716,9 @@ WHERE rank <= 6 AND name_rank <= 4"""
 
 @query(FACETS_SQL)
 def search_facets(spark, d):
-    return facets.facets(ranked_baseline(spark, d)).withColumn("rank", F.col("rank").cast("bigint"))
+    first = ranked_baseline(spark, d).filter(F.col("rank") <= facets.FACET_RESULTS)
+    described = search_plan.describe(first, search_tables(spark, d))
+    return facets.facets(described).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query("""SELECT p.query_id, p.ste_id, b.rank AS before, p.rank AS after, b.rank - p.rank AS delta
@@ -730,7 +733,8 @@ def rank_shift(spark, d):
 
 @query()
 def search_explained(spark, d):
-    explained = scoring.explain(ranking.page(ranked_personal(spark, d), 20))
+    page = ranking.page(ranked_personal(spark, d), 20)
+    explained = search_plan.explain(page, understood(spark, d), search_tables(spark, d), overlay(spark, d))
     return explained.select("query_id", "ste_id", "score", "explanation", F.size("factors").alias("factors"))
 
 
@@ -943,14 +947,16 @@ def training_groups(spark, d):
 
 @query()
 def learned_rerank(spark, d):
-    ranked = ranked_personal(spark, d).withColumn("features", scoring.ranking_features())
-    groups = materialize(
-        evaluation.training_groups(
-            query_log(spark, d).select("query_id", "expected"),
-            ranked.select("query_id", "ste_id", "rank", "features"),
+    page = ranking.page(ranked_personal(spark, d), 24)
+    tables, log = search_tables(spark, d), understood(spark, d)
+    ranked = materialize(
+        search_plan.rescore(page, log, tables, overlay(spark, d)).select(
+            "query_id", "ste_id", "title_raw", "rank", "score", "features"
         ),
-        "groups",
+        "features",
     )
+    cases = query_log(spark, d).select("query_id", "expected")
+    groups = materialize(evaluation.training_groups(cases, ranked), "groups")
     blended = evaluation.apply_ranker(ranked.drop("rank"), evaluation.fit_ranker(groups))
     return ranking.page(ranking.rank_results(blended), 20).select("query_id", "ste_id", "score", "rank")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import constants as K
@@ -17,6 +17,7 @@ B = 0.75
 MAX_TERMS = 8
 MAX_PREFIXES = 6
 BLOCK = 100_000
+LONG_LIST = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -99,19 +100,17 @@ def _gain(tf: Column, doc_len: Column, avg_len: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * doc_len / avg_len))
 
 
-def _score(total: Column) -> Column:
-    """Negated sum, rounded so that the order of summing cannot reorder equal matches."""
-    return F.round(-total, 9).alias("bm25")
-
-
 def search_keys(understood: DataFrame, limit: int = MAX_TERMS) -> DataFrame:
-    """Queries with the terms they search for; queries with equal terms share ``search``."""
+    """Queries with the terms they search for."""
     termed = understood.withColumn("terms", text.search_terms(F.col("retrieval_tokens"), limit))
-    return termed.filter(F.size("terms") > 0).withColumn("search", F.array_join("terms", " "))
+    return termed.filter(F.size("terms") > 0)
 
 
 def _all_terms(searches: DataFrame, index: Index) -> DataFrame:
-    """Documents that hold every term: reached from the rarest one, checked on their vectors."""
+    """Documents that hold every term: reached from the rarest one, checked on their vectors.
+
+    Like the levels below, yields (search, doc, part); a document's parts add up to its score.
+    """
     n = index.stats.select("n").scalar()
     avg_len = index.stats.select("avg_len").scalar()
     placed = searches.select("search", F.posexplode("terms").alias("pos", "term"))
@@ -136,7 +135,7 @@ def _all_terms(searches: DataFrame, index: Index) -> DataFrame:
         + _idf(f["df"], F.col("n"))
         * _gain(F.element_at("tf", f["term"]), F.col("doc_len"), F.col("avg_len")),
     )
-    return with_stats.select("search", "doc", _score(total), F.lit(1).alias("level"))
+    return with_stats.select("search", "doc", (-total).alias("part"))
 
 
 def _any_term(searches: DataFrame, index: Index) -> DataFrame:
@@ -149,13 +148,9 @@ def _any_term(searches: DataFrame, index: Index) -> DataFrame:
         .join(index.terms, "term")
         .select("search", "term", "blocks", _idf(F.col("df"), n).alias("idf"))
     )
-    parts = with_postings(wanted, index).select(
-        "search", "doc", (F.col("idf") * _gain(F.col("tf"), F.col("doc_len"), avg_len)).alias("part")
-    )
-    return (
-        parts.groupBy("search", "doc")
-        .agg(F.sum("part").alias("total"))
-        .select("search", "doc", _score(F.col("total")), F.lit(2).alias("level"))
+    gain = _gain(F.col("tf"), F.col("doc_len"), avg_len)
+    return with_postings(wanted, index).select(
+        "search", "doc", (-F.col("idf") * gain).alias("part")
     )
 
 
@@ -181,50 +176,87 @@ def _any_prefix(searches: DataFrame, index: Index) -> DataFrame:
         .agg(F.sum("tf").alias("tf"), F.first("doc_len").alias("doc_len"))
     )
     prefix_terms = prefix_postings.groupBy("prefix").agg(F.count("*").alias("df"))
-    parts = (
+    gain = _gain(F.col("tf"), F.col("doc_len"), avg_len)
+    return (
         wanted.join(prefix_terms, "prefix")
         .withColumn("idf", _idf(F.col("df"), n))
         .join(prefix_postings, "prefix")
-        .select(
-            "search", "doc",
-            (F.col("idf") * _gain(F.col("tf"), F.col("doc_len"), avg_len)).alias("part"),
-        )
+        .select("search", "doc", (-F.col("idf") * gain).alias("part"))
     )
-    return (
-        parts.groupBy("search", "doc")
-        .agg(F.sum("part").alias("total"))
-        .select("search", "doc", _score(F.col("total")), F.lit(3).alias("level"))
+
+
+def distinct_searches(keyed: DataFrame) -> DataFrame:
+    """The distinct term lists of the queries as (search, terms), numbered for short join keys.
+
+    Written, so that the numbers stay the same wherever the table is read again.
+    """
+    lists = keyed.select("terms").distinct()
+    return materialize(lists.withColumn("search", F.monotonically_increasing_id()), "searches")
+
+
+def _is_long(searches: DataFrame, index: Index) -> DataFrame:
+    """Searches with ``is_long``: whether their terms occur in very many documents together."""
+    sizes = (
+        searches.select("search", F.explode("terms").alias("term"))
+        .join(index.terms, "term")
+        .groupBy("search")
+        .agg(F.sum("df").alias("reach"))
+    )
+    return searches.join(sizes, "search", "left").withColumn(
+        "is_long", F.coalesce("reach", F.lit(0)) > LONG_LIST
     )
 
 
-def hits(keyed: DataFrame, index: Index) -> DataFrame:
-    """All hits (search, doc, bm25, level) of the first level that has any, per search."""
-    searches = materialize(keyed.select("search", "terms").distinct(), "searches")
-    first = materialize(_all_terms(searches, index), "hits-all")
-    left = searches.join(first.select("search").distinct(), "search", "left_anti")
-    second = materialize(_any_term(left, index), "hits-any")
-    left = left.join(second.select("search").distinct(), "search", "left_anti")
-    third = materialize(_any_prefix(left, index), "hits-prefix")
-    return first.unionByName(second).unionByName(third)
+def _cut_short(parts: DataFrame, pool: int) -> DataFrame:
+    """Best hits of searches with bounded hit lists: one shuffle by search does it all."""
+    together = parts.repartition("search")
+    summed = together.groupBy("search", "doc").agg(F.round(F.sum("part"), 9).alias("bm25"))
+    whole = Window.partitionBy("search")
+    return summed.withColumns(
+        {
+            "hit_count": F.count("*").over(whole),
+            "hit_rank": F.row_number().over(whole.orderBy("bm25", "doc")),
+        }
+    ).filter(F.col("hit_rank") <= pool)
 
 
-def count_hits(found: DataFrame) -> DataFrame:
-    return found.groupBy("search").agg(
-        F.count("*").alias("hit_count"), F.first("level").alias("level")
+def _cut_long(parts: DataFrame, pool: int) -> DataFrame:
+    """Best hits of searches with long hit lists, each spread over many tasks."""
+    summed = materialize(
+        parts.groupBy("search", "doc").agg(F.round(F.sum("part"), 9).alias("bm25")), "long-hits"
     )
+    counts = summed.groupBy("search").agg(F.count("*").alias("hit_count"))
+    best = top_k(
+        summed, ["search"], [F.asc("bm25"), F.asc("doc")], pool, rank="hit_rank", spread_by="doc"
+    )
+    return best.join(counts, "search").select("search", "doc", "bm25", "hit_count", "hit_rank")
+
+
+def best_hits(searches: DataFrame, index: Index, pool: int) -> DataFrame:
+    """Strongest ``pool`` hits per search of the first level that has any.
+
+    (search, doc, bm25, hit_count, hit_rank, level), where ``hit_count`` counts all hits of the
+    level. Scores are rounded so that the order of summing cannot reorder equal matches.
+    """
+    left = materialize(_is_long(searches, index), "searches-sized")
+    levels = []
+    for level, matches in enumerate((_all_terms, _any_term, _any_prefix), start=1):
+        short = _cut_short(matches(left.filter("not is_long"), index), pool)
+        long = _cut_long(matches(left.filter("is_long"), index), pool)
+        found = materialize(short.unionByName(long).withColumn("level", F.lit(level)), "hits")
+        levels.append(found)
+        left = left.join(found.select("search").distinct(), "search", "left_anti")
+    return levels[0].unionByName(levels[1]).unionByName(levels[2])
 
 
-def best_hits(found: DataFrame, pool: int) -> DataFrame:
-    """Strongest ``pool`` hits per search."""
-    ranked = top_k(found, ["search"], [F.asc("bm25"), F.asc("doc")], pool, spread_by="doc")
-    return ranked.withColumnRenamed("rank", "hit_rank")
+def count_hits(best: DataFrame) -> DataFrame:
+    """Per search the level its hits come from and their number."""
+    return best.filter("hit_rank = 1").select("search", "level", "hit_count")
 
 
 def retrieve(understood: DataFrame, index: Index, pool: int) -> DataFrame:
     """Candidates of every query: (query_id, doc, bm25, level, hit_rank, hit_count)."""
     keyed = search_keys(understood)
-    found = hits(keyed, index)
-    pooled = best_hits(found, pool).join(
-        count_hits(found).select("search", "hit_count"), "search"
-    )
-    return keyed.select("query_id", "search").join(pooled, "search").drop("search")
+    searches = distinct_searches(keyed)
+    asked = keyed.select("query_id", "terms").join(searches, "terms").select("query_id", "search")
+    return asked.join(best_hits(searches, index, pool), "search").drop("search")

@@ -48,11 +48,24 @@ def with_profile_tokens(queries: DataFrame, overlay: Overlay) -> DataFrame:
     return queries.join(tokens, "customer_inn", "left")
 
 
+def with_match_columns(products: DataFrame) -> DataFrame:
+    """Products with what scoring needs of them, worked out once: attributes without repeats
+    and the lemmas of title, category and attributes."""
+    words = F.concat(
+        F.col("title_tokens"), text.tokens(F.col("category_norm")),
+        text.tokenize(F.col("attributes_raw")),
+    )
+    return products.withColumns(
+        {
+            "attributes": text.dedupe_attributes(F.col("attributes")),
+            "lemmas": F.array_distinct(F.transform(words, lambda t: text.lemma(t, F.lit("token")))),
+        }
+    )
+
+
 def match_columns(candidates: DataFrame) -> DataFrame:
     """What a query and a product have in common, as plain columns."""
     query = F.col("retrieval_tokens")
-    attributes = text.dedupe_attributes(F.col("attributes"))
-    base = candidates.withColumn("attributes", attributes)
     hit_attributes = F.filter(
         "attributes",
         lambda a: F.exists(
@@ -75,19 +88,7 @@ def match_columns(candidates: DataFrame) -> DataFrame:
     query_lemmas = F.array_union(
         F.transform("lemma_mappings", lambda m: m["to"]), F.col("corrected_tokens")
     )
-    product_lemmas = F.array_distinct(
-        F.transform(
-            F.flatten(
-                F.array(
-                    F.col("title_tokens"),
-                    text.tokens(F.col("category_norm")),
-                    text.tokenize(F.col("attributes_raw")),
-                )
-            ),
-            lambda t: text.lemma(t, F.lit("token")),
-        )
-    )
-    return base.withColumns(
+    return candidates.withColumns(
         {
             "m_phrase": (F.col("corrected_query") != "")
             & F.contains(F.col("title_norm"), F.col("corrected_query")),
@@ -96,7 +97,7 @@ def match_columns(candidates: DataFrame) -> DataFrame:
             "m_attributes": hit_attributes,
             "m_numbers": F.size(hit_numbers),
             "m_synonyms": F.size(synonym_hits),
-            "m_lemmas": F.size(F.array_intersect(query_lemmas, product_lemmas)),
+            "m_lemmas": F.size(F.array_intersect(query_lemmas, F.col("lemmas"))),
         }
     )
 

@@ -16,7 +16,7 @@ from quarry.session import materialize
 
 PRODUCT_COLUMNS = [
     "ste_id", "title_raw", "title_norm", "title_tokens", "category_raw", "category_norm",
-    "attributes_raw", "attributes", "brand_guess", "model_guess", "search_text",
+    "attributes", "lemmas", "brand_guess", "model_guess", "search_text",
 ]
 
 
@@ -41,30 +41,40 @@ def build_search_tables(
     )
     candidates = vocabulary.synonym_candidates(dictionary, seeds)
     rules = materialize(vocabulary.synonym_rules(candidates, dictionary, seeds), "rules")
-    full = materialize(vocabulary.with_search_text(products, rules), "search-products")
+    full = scoring.with_match_columns(vocabulary.with_search_text(products, rules))
+    full = materialize(full, "search-products")
     return SearchTables(full, dictionary, rules, index.build_index(full, "ste_id", "search_text"))
 
 
+QUERY_COLUMNS = [
+    "query_id", "customer_inn", "session_id", "corrected_query", "corrected_tokens",
+    "retrieval_tokens", "numeric_tokens", "synonym_mappings", "lemma_mappings", "profile_tokens",
+]
+RESULT_COLUMNS = [
+    "query_id", "ste_id", "title_raw", "bm25", "level", "hit_count",
+    *scoring.SEARCH_FACTORS, "score",
+]
+
+
 def score(
+    candidates: DataFrame,
     understood: DataFrame,
     tables: SearchTables,
     overlay: Overlay | None = None,
-    pool: int = ranking.search_pool(20),
     lexical_mode: str = "reciprocal",
 ) -> DataFrame:
-    """Scored candidates of understood queries; without an overlay the baseline score."""
+    """Candidates (query_id, ste_id, bm25, …) with everything that makes up their score.
+
+    Without an overlay it is the baseline score. Rows are wide: select what is needed.
+    """
     overlay = overlay or Overlay()
-    candidates = index.retrieve(understood, tables.index, pool).withColumnRenamed("doc", "ste_id")
     asked = scoring.with_profile_tokens(understood, overlay)
-    query_columns = [
-        c for c in asked.columns
-        if c not in ("normalized_query", "layout_mappings", "typo_mappings", "spell_candidates",
-                     "protected_tokens", "applied_synonyms", "query")
-    ]
-    joined = candidates.join(asked.select(query_columns), "query_id").join(
+    asked = asked.select([c for c in QUERY_COLUMNS if c in asked.columns])
+    joined = candidates.join(asked, "query_id").join(
         tables.products.select(PRODUCT_COLUMNS), "ste_id"
     )
-    return scoring.score_candidates(scoring.personalise(joined, overlay), lexical_mode)
+    scored = scoring.score_candidates(scoring.personalise(joined, overlay), lexical_mode)
+    return scored.withColumn("features", scoring.ranking_features())
 
 
 def search(
@@ -104,15 +114,35 @@ def rank(
 ) -> DataFrame:
     """Ranked results of queries that are understood already."""
     pool = ranking.search_pool(limit, offset)
-    scored = score(understood, tables, overlay, pool, lexical_mode)
+    candidates = index.retrieve(understood, tables.index, pool).withColumnRenamed("doc", "ste_id")
+    scored = score(candidates, understood, tables, overlay, lexical_mode)
     if coefficients:
-        scored = evaluation.apply_ranker(
-            scored.withColumn("features", scoring.ranking_features()), coefficients
-        )
+        scored = evaluation.apply_ranker(scored, coefficients)
     kept = scored.filter("score > 0")
     if filters is not None:
         kept = facets.apply_filters(kept, filters)
-    return ranking.rank_results(kept)
+    return ranking.rank_results(kept.select(RESULT_COLUMNS))
+
+
+def describe(results: DataFrame, tables: SearchTables) -> DataFrame:
+    """Results, best cut to a page before, with the columns of their product."""
+    columns = ["ste_id", "category_raw", "brand_guess", "model_guess", "attributes"]
+    return results.join(tables.products.select(columns), "ste_id")
+
+
+def explain(
+    results: DataFrame, understood: DataFrame, tables: SearchTables, overlay: Overlay | None = None
+) -> DataFrame:
+    """A page of results with score factors and a one-line explanation."""
+    return scoring.explain(rescore(results, understood, tables, overlay))
+
+
+def rescore(
+    results: DataFrame, understood: DataFrame, tables: SearchTables, overlay: Overlay | None = None
+) -> DataFrame:
+    """A page of results with all scoring columns, ``features`` for the ranker among them."""
+    page = results.select("query_id", "ste_id", "bm25", "rank")
+    return score(page, understood, tables, overlay)
 
 
 def total_counts(ranked: DataFrame, filtered: bool = False) -> DataFrame:

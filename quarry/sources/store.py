@@ -11,7 +11,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators import catalog, profiles, signals, vocabulary
+from quarry.operators import catalog, profiles, scoring, signals, vocabulary
 from quarry.sources import files
 
 MODES = {
@@ -185,7 +185,8 @@ def build_vocabulary(
     rules = write_table(
         vocabulary.synonym_rules(candidates, dictionary, seeds), target, "synonym_rules"
     )
-    full = write_table(vocabulary.with_search_text(products, rules), target, "products")
+    full = scoring.with_match_columns(vocabulary.with_search_text(products, rules))
+    full = write_table(full, target, "products")
     write_table(vocabulary.lexicon(full), target, "lexicon")
 
 
