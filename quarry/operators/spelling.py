@@ -42,30 +42,48 @@ def _deletions(word: Column) -> Column:
 
 
 def _swaps(word: Column) -> Column:
-    """All strings with two neighbouring characters of ``word`` swapped."""
+    """All (i, string) with the neighbouring characters i and i + 1 of ``word`` swapped."""
     return F.when(
         F.length(word) > 1,
         F.transform(
             F.sequence(F.lit(1), F.length(word) - 1),
-            lambda i: F.concat(
-                F.substring(word, F.lit(1), i - 1),
-                F.substring(word, i + 1, F.lit(1)),
-                F.substring(word, i, F.lit(1)),
-                F.substring(word, i + 2, F.length(word)),
+            lambda i: F.struct(
+                i.alias("i"),
+                F.concat(
+                    F.substring(word, F.lit(1), i - 1),
+                    F.substring(word, i + 1, F.lit(1)),
+                    F.substring(word, i, F.lit(1)),
+                    F.substring(word, i + 2, F.length(word)),
+                ).alias("w"),
             ),
         ),
-    ).otherwise(F.array().cast("array<string>"))
+    ).otherwise(F.array().cast("array<struct<i:int,w:string>>"))
+
+
+def _swap_and_edit(swap: Column, other: Column) -> Column:
+    """Whether one edit outside the swapped pair leads from the swapped word to ``other``."""
+    i, word = swap["i"], swap["w"]
+    rest = F.length(word) - i + 1
+    edit_after = (F.left(word, i + 1) == F.left(other, i + 1)) & (
+        F.levenshtein(F.substr(word, i + 2), F.substr(other, i + 2), 1) >= 0
+    )
+    edit_before = (F.right(word, rest) == F.right(other, rest)) & (
+        F.levenshtein(F.left(word, i - 1), F.left(other, F.length(other) - rest), 1) >= 0
+    )
+    return edit_after | edit_before
 
 
 def edit_distance(a: Column, b: Column) -> Column:
-    """Edits up to two, a swap of neighbours counting as one; null beyond."""
+    """Edits up to two, null beyond; a swap of neighbours counts as one, and no character is
+    edited twice."""
     plain = F.levenshtein(a, b, MAX_DISTANCE)
+    swapped = F.transform(_swaps(a), lambda s: s["w"])
     return (
         F.when((plain >= 0) & (plain <= 1), plain)
-        .when(F.array_contains(_swaps(a), b), 1)
+        .when(F.array_contains(swapped, b), 1)
         .when(plain == 2, 2)
-        .when(F.exists(_swaps(a), lambda w: F.levenshtein(w, b, 1) >= 0), 2)
-        .when(F.arrays_overlap(_swaps(a), _swaps(b)), 2)
+        .when(F.exists(_swaps(a), lambda s: _swap_and_edit(s, b)), 2)
+        .when(F.arrays_overlap(swapped, F.transform(_swaps(b), lambda s: s["w"])), 2)
     )
 
 

@@ -152,3 +152,14 @@ def total_counts(ranked: DataFrame, filtered: bool = False) -> DataFrame:
     )
     total = F.col("shown") if filtered else F.greatest("shown", "hits")
     return counted.select("query_id", total.alias("total_count"))
+
+
+def load_search_tables(spark: SparkSession, folder: str) -> SearchTables:
+    """Search tables of a written snapshot, with a fresh index of its search texts."""
+    products = spark.read.parquet(f"{folder}/products")
+    return SearchTables(
+        products,
+        spark.read.parquet(f"{folder}/dictionary"),
+        spark.read.parquet(f"{folder}/synonym_rules"),
+        index.build_index(products, "ste_id", "search_text"),
+    )

@@ -1,7 +1,8 @@
 """The maintained tables: load modes, snapshots, run log, exports, event sink.
 
 A refresh reads one folder of Parquet tables and writes a new one, so readers of the old
-snapshot are never disturbed and a lost executor only repeats its own tasks.
+snapshot are never disturbed and a lost executor only repeats its own tasks. Events, saved
+products and the run log are append-only tables in folders of their own.
 """
 
 from __future__ import annotations
@@ -164,9 +165,6 @@ def refresh(
         target, "showcase",
     )
     build_vocabulary(spark, products, contracts, target)
-    for name in ("events", "saved_results"):
-        if base:
-            write_table(read_table(spark, base, name), target, name)
     stats = write_table(load_stats(spark, target, run_at, MODES[mode]), target, "stats")
     return run_row(spark, mode, run_at, warnings, stats)
 
