@@ -36,6 +36,7 @@ def main() -> None:
         .appName("bench")
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "20g")
         .config("spark.ui.enabled", "false")

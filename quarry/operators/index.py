@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import constants as K
 from quarry.functions import text
-from quarry.operators.ranking import top_k
+from quarry.operators.ranking import spread_out, top_k
 from quarry.session import materialize
 
 K1 = 1.2
@@ -88,6 +88,7 @@ def with_postings(wanted: DataFrame, index: Index) -> DataFrame:
     blocked = wanted.withColumn(
         "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
     ).drop("blocks")
+    blocked = spread_out(blocked, "search" if "search" in wanted.columns else "term")
     return blocked.join(index.postings, ["term", "block"]).drop("block")
 
 
@@ -211,12 +212,10 @@ def _cut_short(parts: DataFrame, pool: int) -> DataFrame:
     """Best hits of searches with bounded hit lists: one shuffle by search does it all."""
     together = parts.repartition("search")
     summed = together.groupBy("search", "doc").agg(F.round(F.sum("part"), 9).alias("bm25"))
-    whole = Window.partitionBy("search")
+    ordered = Window.partitionBy("search").orderBy("bm25", "doc")
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return summed.withColumns(
-        {
-            "hit_count": F.count("*").over(whole),
-            "hit_rank": F.row_number().over(whole.orderBy("bm25", "doc")),
-        }
+        {"hit_count": F.count("*").over(whole), "hit_rank": F.row_number().over(ordered)}
     ).filter(F.col("hit_rank") <= pool)
 
 

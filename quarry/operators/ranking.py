@@ -42,13 +42,22 @@ def top_k(
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
 
 
+def spread_out(df: DataFrame, by: str) -> DataFrame:
+    """Rows dealt to as many tasks as a shuffle has, however few bytes they are.
+
+    For rows that are about to multiply: their number of bytes says nothing about the work.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, by)
+
+
 def spread_join(big: DataFrame, small: DataFrame, key: str, spread_by: str) -> DataFrame:
     """Inner join in which rows of ``big`` with one key are spread over many join keys.
 
     For a ``small`` side whose every row multiplies with many of ``big``: its rows are repeated
     once per salt, so the pairs of a key that most of ``big`` holds are made by many tasks.
     """
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(JOIN_SALTS)).cast("int"))
+    salted = spread_out(big, spread_by).withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(JOIN_SALTS)).cast("int"))
     repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))))
     return salted.join(repeated, [key, "_salt"]).drop("_salt")
 

@@ -39,13 +39,25 @@ def personalise(candidates: DataFrame, overlay: Overlay) -> DataFrame:
 
 
 def with_profile_tokens(queries: DataFrame, overlay: Overlay) -> DataFrame:
-    """Queries with the token weights of their customer as a map of at most 30 entries."""
+    """Queries with those of their tokens that the customer's profile weighs, and the weights."""
+    none = F.lit(None).cast("array<struct<value:string,weight:double>>")
     if overlay.profiles is None or "customer_inn" not in queries.columns:
-        return queries.withColumn("profile_tokens", F.lit(None).cast("map<string,double>"))
-    tokens = overlay.profiles.select(
-        "customer_inn", F.map_from_entries("token_weights").alias("profile_tokens")
+        return queries.withColumn("profile_tokens", none)
+    known = overlay.profiles.select(
+        "customer_inn", F.map_from_entries("token_weights").alias("known")
+    )
+    weighed = F.filter(
+        F.transform(
+            "retrieval_tokens",
+            lambda q: F.struct(q.alias("value"), F.try_element_at("known", q).alias("weight")),
+        ),
+        lambda item: item["weight"] > 0,
+    )
+    return (
+        queries.join(known, "customer_inn", "left")
+        .withColumn("profile_tokens", F.when(F.col("known").isNotNull(), weighed))
+        .drop("known")
     )
-    return queries.join(tokens, "customer_inn", "left")
 
 
 def with_match_columns(products: DataFrame) -> DataFrame:
@@ -55,9 +67,13 @@ def with_match_columns(products: DataFrame) -> DataFrame:
         F.col("title_tokens"), text.tokens(F.col("category_norm")),
         text.tokenize(F.col("attributes_raw")),
     )
+    attributes = text.dedupe_attributes(F.col("attributes"))
     return products.withColumns(
         {
-            "attributes": text.dedupe_attributes(F.col("attributes")),
+            "attributes": attributes,
+            "attribute_texts": F.transform(
+                attributes, lambda a: F.concat_ws("\n", a["name_norm"], a["value_norm"])
+            ),
             "lemmas": F.array_distinct(F.transform(words, lambda t: text.lemma(t, F.lit("token")))),
         }
     )
@@ -67,10 +83,7 @@ def match_columns(candidates: DataFrame) -> DataFrame:
     """What a query and a product have in common, as plain columns."""
     query = F.col("retrieval_tokens")
     hit_attributes = F.filter(
-        "attributes",
-        lambda a: F.exists(
-            query, lambda q: F.contains(a["name_norm"], q) | F.contains(a["value_norm"], q)
-        ),
+        "attribute_texts", lambda a: F.exists(query, lambda q: F.contains(a, q))
     )
     hit_numbers = F.filter(
         "numeric_tokens",
@@ -117,21 +130,20 @@ def search_factors(matched: DataFrame, lexical_mode: str = "reciprocal") -> Data
         ),
     )
     gate = F.col("gate")
-    searched = F.filter(
-        "retrieval_tokens",
-        lambda q: (F.coalesce(F.try_element_at("profile_tokens", q), F.lit(0.0)) > 0)
-        & (
-            F.contains(F.col("search_text"), q)
-            | F.contains(F.col("title_norm"), q)
-            | F.contains(F.col("category_norm"), q)
-        ),
+    found = F.filter(
+        "profile_tokens",
+        lambda item: F.contains(F.col("search_text"), item["value"])
+        | F.contains(F.col("title_norm"), item["value"])
+        | F.contains(F.col("category_norm"), item["value"]),
     )
-    with_tokens = gated.withColumn("m_profile", searched)
-    token_sum = F.aggregate(
-        "m_profile",
+    with_tokens = gated.withColumn("m_profile", found)
+    token_sum = F.coalesce(
+        F.aggregate(
+            "m_profile",
+            F.lit(0.0),
+            lambda acc, item: acc + F.least(F.lit(0.16), 0.015 * item["weight"]),
+        ),
         F.lit(0.0),
-        lambda acc, q: acc
-        + F.least(F.lit(0.16), 0.015 * F.coalesce(F.try_element_at("profile_tokens", q), F.lit(0.0))),
     )
     return with_tokens.withColumns(
         {
@@ -204,10 +216,13 @@ def join_reasons(factors: Column, fallback: str) -> Column:
 def explain(scored: DataFrame) -> DataFrame:
     """Scored candidates with their factors and a one-line explanation."""
     say = {name: F.lit(sentence) for name, sentence in K.SEARCH_REASONS.items()}
+    named = F.filter(
+        "attributes",
+        lambda a, i: F.array_contains("m_attributes", F.get("attribute_texts", i)),
+    )
     attribute_names = F.array_join(
         F.transform(
-            F.slice("m_attributes", 1, 3),
-            lambda a: F.concat_ws("=", a["name_raw"], a["value_raw"]),
+            F.slice(named, 1, 3), lambda a: F.concat_ws("=", a["name_raw"], a["value_raw"])
         ),
         "; ",
     )
@@ -232,7 +247,7 @@ def explain(scored: DataFrame) -> DataFrame:
             _factor("history_category", F.col("f_history_category"), say["history_category"]),
             _factor(
                 "history_tokens", F.col("f_history_tokens"),
-                F.concat(say["history_tokens"], F.array_join(F.slice("m_profile", 1, 5), ", ")),
+                F.concat(say["history_tokens"], F.array_join(F.transform(F.slice("m_profile", 1, 5), lambda item: item["value"]), ", ")),
             ),
             _factor(
                 "session_product", F.col("s_product"),

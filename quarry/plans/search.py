@@ -16,7 +16,7 @@ from quarry.session import materialize
 
 PRODUCT_COLUMNS = [
     "ste_id", "title_raw", "title_norm", "title_tokens", "category_raw", "category_norm",
-    "attributes", "lemmas", "brand_guess", "model_guess", "search_text",
+    "attributes", "attribute_texts", "lemmas", "brand_guess", "model_guess", "search_text",
 ]
 
 
@@ -50,10 +50,7 @@ QUERY_COLUMNS = [
     "query_id", "customer_inn", "session_id", "corrected_query", "corrected_tokens",
     "retrieval_tokens", "numeric_tokens", "synonym_mappings", "lemma_mappings", "profile_tokens",
 ]
-RESULT_COLUMNS = [
-    "query_id", "ste_id", "title_raw", "bm25", "level", "hit_count",
-    *scoring.SEARCH_FACTORS, "score",
-]
+RESULT_COLUMNS = ["query_id", "ste_id", "title_raw", "bm25", "level", "hit_count", "score"]
 
 
 def score(
