@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -447,7 +448,7 @@ def lexicon(spark, d):
 
 @query("SELECT term || ' ' || doc_freq AS value FROM c_dictionary")
 def dictionary_export(spark, d):
-    path = f"{scratch_folder(spark)}/dictionary-export"
+    path = f"{scratch_folder(spark)}/dictionary-export-{uuid.uuid4().hex}"
     store.export_dictionary(search_tables(spark, d).dictionary, path)
     return spark.read.text(path)
 
@@ -966,7 +967,7 @@ def learned_rerank(spark, d):
 @shared
 def exported_files(spark, d):
     """The products and contracts as delimited files, as they would be delivered."""
-    folder = f"{scratch_folder(spark)}/files-{abs(hash(d))}"
+    folder = f"{scratch_folder(spark)}/files-{uuid.uuid4().hex}"
     write = lambda df, name: df.write.mode("overwrite").option("sep", ";").option("escape", '"').csv(f"{folder}/{name}")
     write(A.raw_products(spark, d).select(files.PRODUCT_COLUMNS), "products")
     lines = A.raw_contracts(spark, d)
@@ -1012,7 +1013,7 @@ def quarantined_rows(spark, d):
 @query("""SELECT p_partkey::VARCHAR AS id, p_name AS title, p_brand AS manufacturer, p_type AS category_name,
             lower(p_name || ' ' || p_brand || ' M' || p_partkey || ' ' || p_type || ' Size ' || p_size) AS plain_text FROM part""")
 def rich_catalog(spark, d):
-    path = f"{scratch_folder(spark)}/rich-{abs(hash(d))}"
+    path = f"{scratch_folder(spark)}/rich-{uuid.uuid4().hex}"
     part = A.table(spark, d, "part")
     key = F.col("p_partkey").cast("string")
     cells = {
@@ -1071,7 +1072,7 @@ def session_signals_stream(spark, d):
 @query("""SELECT ste_id, title_raw, title_norm, brand_guess, model_guess FROM c_products""")
 def ingest_stream(spark, d):
     folder = f"{exported_files(spark, d)}/products"
-    landing = f"{scratch_folder(spark)}/landing-{abs(hash(d))}"
+    landing = f"{scratch_folder(spark)}/landing-{uuid.uuid4().hex}"
     writer = ingest_streaming.ingest_stream(spark, folder, "products", landing)
     writer.trigger(availableNow=True).start().awaitTermination()
     return ingest_streaming.current_rows(spark, landing, "products").select(
