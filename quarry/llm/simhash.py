@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,8 @@ SHINGLE, DISTANCE, SEED = 3, 3, 42
 LENGTH, RADIUS, GENERATOR = 23, 3, 0xC75
 #: Shingles counted at a time.
 _BLOCK = 1 << 16
+#: Fingerprints that one task takes to their anchors.
+DEALT = 20_000
 
 
 def fingerprint(text: bytes) -> int:
@@ -198,7 +201,9 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprint_links(distinct: DataFrame) -> DataFrame:
     """(a, b): links that join all fingerprints differing in 3 bits or fewer; ``distinct`` has bits, without repeats."""
-    spread = distinct.select("bits").mapInArrow(_replicate, "anchor long, bits long, near boolean")
+    # Each row becomes dozens, so rows are dealt by their number, not by their few bytes.
+    dealt = distinct.select("bits").repartition(max(1, math.ceil(distinct.count() / DEALT)))
+    spread = dealt.mapInArrow(_replicate, "anchor long, bits long, near boolean")
     at_anchor = spread.repartition("anchor").sortWithinPartitions("anchor")
     return at_anchor.mapInArrow(_compare, "a long, b long").distinct()
 
