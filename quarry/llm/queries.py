@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import language, mixing, simhash
+from quarry.llm import kneser_ney, language, mixing, simhash
 from quarry.llm.text import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,14 @@ def op1_language(spark, d):
     return language.identify(docs, model)
 
 
+@query
+def op4_kneser_ney(spark, d):
+    docs = documents(spark, d)
+    remainder = fold(F.col("doc_id"))
+    model = kneser_ney.train(docs.filter(remainder != 1))
+    return kneser_ney.score(docs.withColumn("held_out", F.coalesce(remainder == 1, F.lit(False))), model)
+
+
 @query
 def op10_mixing(spark, d):
     return mixing.mix(documents(spark, d)).drop("copies")
