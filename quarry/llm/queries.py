@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import kneser_ney, language, mixing, simhash
+from quarry.llm import cover_tree, kneser_ney, language, mixing, permutation_index, simhash
 from quarry.llm.text import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,30 @@ def op4_kneser_ney(spark, d):
     return kneser_ney.score(docs.withColumn("held_out", F.coalesce(remainder == 1, F.lit(False))), model)
 
 
+@query
+def op5_permutation_index(spark, d):
+    return permutation_index.nearest(spark.read.parquet(f"{d}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op8_cover_tree(spark, d):
+    return cover_tree.top_k(spark.read.parquet(f"{d}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
+SQL["op8_cover_tree"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) n FROM s
+)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 10
+"""
+
+
 @query
 def op10_mixing(spark, d):
     return mixing.mix(documents(spark, d)).drop("copies")
