@@ -38,15 +38,15 @@ def permutations(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def _build(pivots: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> bytes:
-    """A block with its inverted files: for each pivot the rows that keep it, and at which place."""
+    """A block with the inverted file of each pivot: KEPT less its place with each row, 0 where it is not kept.
+
+    A pivot is kept by KEPT / PIVOTS of all rows, half of them, so a byte per row is its shortest form.
+    """
     order = permutations(vectors, pivots)
-    flat = order.ravel()
-    by_pivot = np.argsort(flat, kind="stable")
-    kept = order.shape[1]
+    files = np.zeros((len(pivots), len(ids)), np.uint8)
+    np.put_along_axis(files, order.T.astype(np.int64), np.arange(order.shape[1], 0, -1, dtype=np.uint8)[:, None], axis=0)
     return V.pack(
-        ids=ids, vectors=vectors.astype(np.float32) if (vectors.astype(np.float32) == vectors).all() else vectors,
-        rows=(by_pivot // kept).astype(np.int32), places=(by_pivot % kept).astype(np.int16),
-        starts=np.searchsorted(flat[by_pivot], np.arange(len(pivots) + 1)),
+        ids=ids, vectors=vectors.astype(np.float32) if (vectors.astype(np.float32) == vectors).all() else vectors, files=files,
     )
 
 
@@ -55,18 +55,16 @@ def _build_queries(pivots: np.ndarray, ids: np.ndarray, vectors: np.ndarray) ->
 
 
 def _best(queries: dict, block: dict, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    ids, vectors = block["ids"], block["vectors"].astype(np.float64)
-    rows, places, starts = block["rows"], block["places"].astype(np.float32), block["starts"]
+    ids, vectors, files = block["ids"], block["vectors"].astype(np.float64), block["files"]
     most = max(LEAST, int(np.ceil(SHARE * len(ids))))
+    shared, least = np.empty(len(ids), np.uint16), np.empty(len(ids), np.uint8)
     for query, vector, order in zip(queries["ids"], queries["vectors"], queries["order"], strict=True):
-        kept = len(order)
-        # Footrule of the kept pivots, where a missing one counts as place ``kept``: a constant less
-        # twice this sum over the pivots that both keep.
-        shared = np.zeros(len(ids), np.float32)
+        # Footrule of the kept pivots, where a missing one counts as place KEPT: a constant less
+        # twice this sum over the pivots that both keep of KEPT less the later place.
+        shared[:] = 0
         for place, pivot in enumerate(order):
-            a, b = starts[pivot], starts[pivot + 1]
-            shared[rows[a:b]] += kept - np.maximum(places[a:b], place)
-        near = V.top(ids, shared, most) if len(ids) > most else np.arange(len(ids))
+            shared += np.minimum(files[pivot], np.uint8(len(order) - place), out=least)
+        near = V.top(ids, shared.astype(np.int64), most) if len(ids) > most else np.arange(len(ids))
         near = near[ids[near] != query]
         scores = vectors[near] @ vector
         chosen = V.top(ids[near], scores, k)
