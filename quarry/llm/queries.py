@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import cover_tree, kneser_ney, language, mixing, permutation_index, simhash
+from quarry.llm import cover_tree, kneser_ney, language, mixing, permutation_index, simhash, toxicity
 from quarry.llm.text import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,13 @@ def op5_permutation_index(spark, d):
     return permutation_index.nearest(spark.read.parquet(f"{d}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
 
 
+@query
+def op7_toxicity(spark, d):
+    docs = documents(spark, d)
+    model = toxicity.train(toxicity.labelled_texts(docs, spark.read.parquet(f"{d}/labels.parquet")))
+    return toxicity.score(docs, model)
+
+
 @query
 def op8_cover_tree(spark, d):
     return cover_tree.top_k(spark.read.parquet(f"{d}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
