@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import cover_tree, kneser_ney, language, mixing, permutation_index, simhash, toxicity
+from quarry.llm import cover_tree, kneser_ney, language, mixing, permutation_index, run_length_index, simhash, toxicity
 from quarry.llm.text import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,6 +69,11 @@ SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 10
 """
 
 
+@query
+def op9_run_length_index(spark, d):
+    return run_length_index.remove_repeats(documents(spark, d)).drop("kept")
+
+
 @query
 def op10_mixing(spark, d):
     return mixing.mix(documents(spark, d)).drop("copies")
