@@ -46,7 +46,7 @@ def op5_permutation_index(spark, d):
 @query
 def op7_toxicity(spark, d):
     docs = documents(spark, d)
-    model = toxicity.train(toxicity.labelled_texts(docs, spark.read.parquet(f"{d}/labels.parquet")))
+    model = toxicity.train(docs, toxicity.learnable(spark.read.parquet(f"{d}/labels.parquet")))
     return toxicity.score(docs, model)
 
 

@@ -173,27 +173,34 @@ def _fit(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"toxic": [toxic], "ordinary": [ordinary], "weights": [weights.tolist()]})
 
 
-def train(labelled: DataFrame) -> Model:
-    """Fits dictionaries and thresholds on (text, toxic), toxic 0 or 1; rows with null in either are left out.
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """Fits dictionaries and thresholds on texts of ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic 0 or 1).
 
-    The sample is bounded: of each label the ``SAMPLE_ROWS`` rows with the smallest hashes of their
-    text, among texts of up to ``SAMPLE_CHARS`` characters. Without rows, nothing is toxic.
+    The sample is bounded: of each label the ``SAMPLE_ROWS`` rows with the smallest hashes of their id,
+    less those whose text is missing or longer than ``SAMPLE_CHARS``. The sample's ids are broadcast, so
+    no text is shuffled but the sample's. Without rows, nothing is toxic.
     """
-    rows = labelled.filter("text IS NOT NULL AND toxic IN (0, 1)").select(
-        "text", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("text").alias("deal")
+    known = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").select(
+        "doc_id", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id").alias("deal")
     )
-    totals = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    fitting = rows.filter(F.length("text") <= SAMPLE_CHARS)
-    parts = [fitting.filter(F.col("toxic") == y).orderBy("deal").limit(SAMPLE_ROWS) for y in (0, 1)]
+    totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    parts = [known.filter(F.col("toxic") == y).orderBy("deal").limit(SAMPLE_ROWS) for y in (0, 1)]
     sample = parts[0].unionByName(parts[1]).withColumn(
         "share", F.when(F.col("toxic") == 1, float(totals.get(1, 0))).otherwise(float(totals.get(0, 0)))
     )
-    found = sample.withColumn("fit", F.col("toxic") >= 0).groupBy("fit").applyInPandas(_fit, "toxic binary, ordinary binary, weights array<double>").first()
+    texts = docs.select("doc_id", "text").filter(F.length("text") <= SAMPLE_CHARS)
+    rows = texts.join(F.broadcast(sample), "doc_id").withColumn("fit", F.col("toxic") >= 0)
+    found = rows.groupBy("fit").applyInPandas(_fit, "toxic binary, ordinary binary, weights array<double>").first()
     if found is None:
         return Model(PADDING, PADDING, (0.0, 0.0, 0.0, -10.0))
     return Model(bytes(found["toxic"]), bytes(found["ordinary"]), tuple(found["weights"]))
 
 
+def learnable(labels: DataFrame) -> DataFrame:
+    """The labels that may be learned from: crc32 of the id modulo 5 is not 0."""
+    return labels.filter(fold(F.col("doc_id")) != 0)
+
+
 def _score(model: Model):
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, ordinary = compressor(model.toxic), compressor(model.ordinary)
@@ -219,9 +226,3 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "text")
     scored = rows.mapInArrow(_score(model), f"doc_id {kind}, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
-
-
-def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of the rows that may be learned from: crc32 of the id modulo 5 is not 0."""
-    known = labels.select("doc_id", "toxic").filter(fold(F.col("doc_id")) != 0)
-    return docs.select("doc_id", "text").join(known, "doc_id").select("text", "toxic")
