@@ -17,8 +17,9 @@ from quarry.session import materialize
 
 #: Bytes of a passage that must not start twice; bytes of an anchor.
 LENGTH, ANCHOR = 400, 32
-#: Text bytes meant for one index, and segments of one anchor that are kept together.
-INDEX_BYTES, TOGETHER = 1_500_000, 500
+#: Text bytes meant for one index, and different segments of one anchor that are kept
+#: together (of about 600 bytes each), window hashes of split anchors that one task compares.
+INDEX_BYTES, TOGETHER, SHARD_WINDOWS = 1_500_000, 2_000, 2_000_000
 #: Bases of the anchors' and the texts' polynomial hashes.
 _ANCHOR_BASE, _TEXT_BASE = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
 _PLACE = np.uint64((1 << 21) - 1)
@@ -115,22 +116,22 @@ class RunLengthIndex:
         # Seven bytes in a base of 257, which 64 bits hold; a text's end counts as 0.
         for k in range(7):
             key = key * np.uint64(257) + np.where(self.rest > k, padded[k : k + n], 0)
-        length = 7
+        length, at = 7, np.arange(n)
+        bits = int(n).bit_length() + 1
+        times = 3 if 3 * bits <= 63 else 2
         while True:
-            order = np.argsort(key, kind="stable")
-            ranks = np.empty(n, np.int64)
+            order = np.argsort(key)
             sorted_key = key[order]
+            ranks = np.empty(n, np.int64)
             ranks[order] = np.cumsum(np.append(True, sorted_key[1:] != sorted_key[:-1]))
-            distinct = int(ranks[order[-1]])
-            if distinct == n or length >= longest:
+            if int(ranks[order[-1]]) == n:
                 return order
-            bits = int(n).bit_length() + 1
-            times = 3 if 3 * bits <= 63 else 2
-            key, at = ranks.copy(), np.arange(n)
+            if length >= longest:
+                return np.argsort(ranks << bits | at)  # what is equal to its end stands in the order of the text
+            key = ranks.copy()
             for k in range(1, times):
                 ahead = self.rest > k * length
                 key = (key << bits) | np.where(ahead, ranks[np.minimum(at + k * length, n - 1)], 0)
-            key = key.astype(np.uint64)
             length *= times
 
     def _shared(self, hashed: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -168,30 +169,54 @@ class RunLengthIndex:
         return out
 
 
-def _marked(frame: pd.DataFrame) -> pd.DataFrame:
-    """Spans of repeated windows in the bucket's segments; of split anchors also a hash of each different window."""
-    frame = frame.sort_values(["anchor", "key", "start"], kind="stable")
-    index = RunLengthIndex(list(frame["bytes"]))
-    long = index.matching_statistics() >= LENGTH
-    windows, key, start = (frame[c].to_numpy() for c in ("windows", "key", "start"))
-    in_text = np.repeat(index.starts[:-1], windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-    of = np.repeat(np.arange(len(frame)), windows)
-    offset = in_text - index.starts[:-1][of]
-    hit = long[in_text]
-    edge = np.flatnonzero(hit & np.append(True, ~hit[:-1] | (of[1:] != of[:-1])))
-    stop = np.flatnonzero(hit & np.append(~hit[1:] | (of[1:] != of[:-1]), True))
-    spans = pd.DataFrame({
-        "key": key[of[edge]], "start": start[of[edge]] + offset[edge], "end": start[of[edge]] + offset[stop] + LENGTH, "window": pd.Series([None] * len(edge), dtype="Int64"),
-    })
-    split = np.flatnonzero(frame["split"].to_numpy()[of])
-    if len(split):
-        at = in_text[split]
-        value = range_hash(index.hashed, at, at + LENGTH, _TEXT_BASE).view(np.int64)
-        _, first = np.unique(value, return_index=True)
-        place = start[of[split[first]]] + offset[split[first]]
-        others = pd.DataFrame({"key": key[of[split[first]]], "start": place, "end": place + LENGTH, "window": pd.array(value[first], dtype="Int64")})
-        spans = pd.concat([spans, others], ignore_index=True)
-    return spans
+def _runs(key: np.ndarray, start: np.ndarray) -> pd.DataFrame:
+    """Spans (key, start, end) of bytes under windows, given in the order of key and start."""
+    new = np.append(True, (key[1:] != key[:-1]) | (start[1:] != start[:-1] + 1)) if len(key) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(key)) - 1 if len(key) else first
+    return pd.DataFrame({"key": key[first], "start": start[first], "end": start[last] + LENGTH})
+
+
+def _marked(shards: int):
+    def marked(frame: pd.DataFrame) -> pd.DataFrame:
+        """Spans of repeated windows in the bucket's segments. Of split anchors also a hash of each different
+        window, packed in a row for each of ``shards`` shards of hashes."""
+        frame = frame.sort_values(["anchor", "key", "start"], kind="stable")
+        index = RunLengthIndex(list(frame["bytes"]))
+        long = index.matching_statistics() >= LENGTH
+        windows, key, start = (frame[c].to_numpy() for c in ("windows", "key", "start"))
+        before = np.cumsum(windows) - windows
+        of = np.repeat(np.arange(len(frame)), windows)
+        offset = np.arange(len(of)) - before[of]
+        in_text, place, owner = index.starts[:-1][of] + offset, start[of] + offset, key[of]
+        hit = long[in_text]
+        # Spans have the shard -1, so that no integer column holds a null, which pandas would round.
+        spans = _runs(owner[hit], place[hit]).assign(shard=-1, windows=b"", keys=b"", places=b"")
+        split = np.flatnonzero(frame["split"].to_numpy(bool)[of])
+        if len(split):
+            value = range_hash(index.hashed, in_text[split], in_text[split] + LENGTH, _TEXT_BASE)
+            value, first = np.unique(value, return_index=True)
+            shard = (value % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+            mine = [order[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+            packed = pd.DataFrame({
+                "key": 0, "start": 0, "end": 0, "shard": np.arange(shards), "windows": [value[m].tobytes() for m in mine],
+                "keys": [owner[split[first[m]]].tobytes() for m in mine], "places": [place[split[first[m]]].tobytes() for m in mine],
+            })
+            spans = pd.concat([spans, packed], ignore_index=True)
+        return spans
+
+    return marked
+
+
+def _across(frame: pd.DataFrame) -> pd.DataFrame:
+    """Spans of the windows that several buckets of split anchors hold."""
+    value, key, place = (np.concatenate([np.frombuffer(x, t) for x in frame[c]]) for c, t in (("windows", np.uint64), ("keys", np.int64), ("places", np.int64)))
+    _, inverse, counts = np.unique(value, return_inverse=True, return_counts=True)
+    again = np.flatnonzero(counts[inverse] > 1)
+    again = again[np.lexsort((place[again], key[again]))]
+    return _runs(key[again], place[again])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,21 +257,24 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         "key", "start", (F.col("start") + F.col("windows") + LENGTH - 1).alias("end")
     )
     opened = contents.join(several, "anchor").select("anchor", "m", "content", "first.*")
-    size = opened.agg(F.coalesce(F.sum(F.col("windows") + LENGTH - 1), F.lit(0))).first()[0]
-    buckets = max(1, math.ceil(size / INDEX_BYTES))
     split = F.col("m") > TOGETHER
+    size, windows = opened.agg(
+        F.coalesce(F.sum(F.col("windows") + LENGTH - 1), F.lit(0)), F.coalesce(F.sum(F.when(split, F.col("windows"))), F.lit(0))
+    ).first()
+    buckets, shards = max(1, math.ceil(size / INDEX_BYTES)), max(1, math.ceil(windows / SHARD_WINDOWS))
     dealt = F.when(split, F.xxhash64("anchor", "content")).otherwise(F.xxhash64("anchor"))
     by_row = opened.groupBy("key").agg(F.collect_list(F.struct(
         "anchor", split.alias("split"), F.pmod(dealt, F.lit(buckets)).alias("bucket"), "start", "windows",
     )).alias("open"))
     texts = docs.select(row_key().alias("key"), "text")
     cut = texts.join(by_row, "key").mapInArrow(_cut, "anchor long, split boolean, bucket long, start long, windows int, key long, bytes binary")
-    marked = materialize(cut.groupBy("bucket").applyInPandas(_marked, "key long, start long, end long, window long"), "marked")
-    across = marked.filter("window IS NOT NULL")
-    again = across.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1")
-    spans = spans.unionByName(marked.filter("window IS NULL").drop("window")).unionByName(
-        across.join(again, "window", "left_semi").drop("window")
+    marked = materialize(
+        cut.groupBy("bucket").applyInPandas(
+            _marked(shards), "key long, start long, end long, shard long, windows binary, keys binary, places binary"
+        ), "marked",
     )
+    across = marked.filter("shard >= 0").groupBy("shard").applyInPandas(_across, "key long, start long, end long")
+    spans = spans.unionByName(marked.filter("shard < 0").select("key", "start", "end")).unionByName(across)
     return spans.distinct().groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
