@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import cover_tree, kneser_ney, language, mixing, permutation_index, run_length_index, simhash, toxicity
+from quarry.llm import cover_tree, kneser_ney, language, mixing, permutation_index, run_length_index, sampling, simhash, toxicity
 from quarry.llm.text import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,12 @@ def op1_language(spark, d):
     return language.identify(docs, model)
 
 
+@query
+def op3_segmentations(spark, d):
+    found = sampling.encode(documents(spark, d))
+    return found.withColumn("ids_hash", F.xxhash64("ids")).drop("ids")
+
+
 @query
 def op4_kneser_ney(spark, d):
     docs = documents(spark, d)
