@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import cover_tree, kneser_ney, language, mixing, permutation_index, run_length_index, sampling, simhash, toxicity
+from quarry.llm import cover_tree, kneser_ney, language, line_dedup, mixing, permutation_index, run_length_index, sampling, simhash, toxicity
 from quarry.llm.text import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,43 @@ def op1_language(spark, d):
     return language.identify(docs, model)
 
 
+@query
+def op2_line_dedup(spark, d):
+    return line_dedup.report(documents(spark, d))
+
+
+SQL["op2_line_dedup"] = r"""
+WITH l AS (
+  SELECT doc_id, i - 1 AS line, string_split(text, chr(10))[i] AS t
+  FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) i FROM documents WHERE text IS NOT NULL)
+), s AS (
+  SELECT doc_id, line, list_sort(list_distinct(regexp_extract_all(lower(t), '[^\x20\x09-\x0D]+'))) w FROM l
+), u AS (
+  SELECT w, len(w) n, min(struct_pack(d := doc_id, l := line)) AS first FROM s WHERE len(w) > 0 GROUP BY w
+), k AS (
+  SELECT row_number() OVER () AS k, * FROM u
+), tokens AS (
+  SELECT k, n, first, unnest(w) AS t FROM k
+), df AS (
+  SELECT t, count(*) c FROM tokens GROUP BY t
+), p AS (
+  SELECT * FROM (SELECT k, n, first, t, row_number() OVER (PARTITION BY k ORDER BY c, t) AS place FROM tokens JOIN df USING (t))
+  WHERE place <= n - (4 * n + 4) // 5 + 1
+), c AS (
+  SELECT DISTINCT a.k AS later, b.k AS earlier FROM p a JOIN p b ON a.t = b.t AND b.first < a.first AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
+), m AS (
+  SELECT DISTINCT later FROM c JOIN k x ON x.k = later JOIN k y ON y.k = earlier
+  WHERE 9 * len(list_intersect(x.w, y.w)) >= 4 * (x.n + y.n)
+), r AS (
+  SELECT doc_id, list(line ORDER BY line) AS removed FROM s JOIN k USING (w)
+  WHERE k IN (SELECT later FROM m) OR struct_pack(d := doc_id, l := line) <> first GROUP BY doc_id
+)
+SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END::INTEGER AS n_lines,
+  coalesce(len(removed), 0)::INTEGER AS n_removed, coalesce(array_to_string(removed, ','), '') AS removed
+FROM documents LEFT JOIN r USING (doc_id)
+"""
+
+
 @query
 def op3_segmentations(spark, d):
     found = sampling.encode(documents(spark, d))
