@@ -95,7 +95,8 @@ def mix(
 ) -> DataFrame:
     """Copies of every document, so that each source's words meet its target.
 
-    Takes (doc_id, text, source); returns doc_id, size, source_size, target, copies, taken. A
+    Takes (doc_id, text, source); returns doc_id, key, size, source_size, target, copies, taken, where
+    ``key`` is a hash of doc_id and text. A
     document's expected copies are target / source_size. The whole part is given to all; the
     fractions are rounded by pairs inside buckets of about ``BUCKET_ROWS`` rows dealt by id, each
     bucket leaves at most one fraction per source, and a reduction tree joins ``FAN_IN`` buckets at a
@@ -108,7 +109,7 @@ def mix(
     sized = materialize(
         docs.select(
             "doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"),
-            F.xxhash64(F.col("doc_id"), F.lit(seed)).alias("deal"),
+            F.xxhash64(F.col("doc_id"), F.lit(seed)).alias("deal"), F.xxhash64("doc_id", "text").alias("key"),
         ),
         "mix-sizes",
     )
@@ -118,7 +119,7 @@ def mix(
     part = F.greatest(F.lit(0.0), F.col("wanted") - whole)
     rows = (
         sized.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
-        .select("doc_id", "size", "deal", "source_size", "target", wanted.alias("wanted"),
+        .select("doc_id", "key", "size", "deal", "source_size", "target", wanted.alias("wanted"),
                 F.xxhash64(F.col("d.source"), F.lit(1)).alias("group"))
         .withColumn("whole", whole.cast("long"))
         .withColumn("part", F.when((F.col("size") == 0) | (part < _NEARLY), 0.0).otherwise(part))
@@ -141,4 +142,13 @@ def mix(
     for more in done[1:]:
         out = out.unionByName(more)
     copies = F.col("whole") + F.round("part").cast("long")
-    return out.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("doc_id", "key", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def repeat(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """``docs`` with each row as often as ``mix`` says; equal rows take their copies together."""
+    copies = mixed.groupBy("key").agg(F.sum("copies").alias("mix_copies")).filter("mix_copies > 0").withColumnRenamed("key", "mix_key")
+    keyed = docs.withColumn("mix_key", F.xxhash64("doc_id", "text")).join(copies, "mix_key")
+    one = F.row_number().over(Window.partitionBy("mix_key").orderBy("mix_key"))
+    once = keyed.withColumn("mix_row", one).filter("mix_row = 1")
+    return once.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*docs.columns)

@@ -119,7 +119,7 @@ def op9_run_length_index(spark, d):
 
 @query
 def op10_mixing(spark, d):
-    return mixing.mix(documents(spark, d)).drop("copies")
+    return mixing.mix(documents(spark, d)).drop("copies", "key")
 
 
 @query

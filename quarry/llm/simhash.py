@@ -231,3 +231,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         distinct.join(first, "bits", "left").select("bits", F.coalesce("least", "first").alias("component_id")), "component-ids"
     )
     return found.join(ids, "bits").select("doc_id", hex_digits(F.col("bits")).alias("fingerprint"), "component_id")
+
+
+def first_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that come first by doc_id in their component; one of each id.
+
+    Rows without an id cannot be told apart and stay.
+    """
+    first = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    return docs.filter("doc_id IS NULL").unionByName(docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]))

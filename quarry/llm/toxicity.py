@@ -201,21 +201,35 @@ def learnable(labels: DataFrame) -> DataFrame:
     return labels.filter(fold(F.col("doc_id")) != 0)
 
 
+def _scores(batch: pa.RecordBatch, model: Model, toxic, ordinary) -> np.ndarray:
+    data, offsets = utf8(batch.column("text"))
+    raw = data.tobytes()
+    x = [features(distances(raw[a:b], toxic, ordinary)) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    z = np.array(x).reshape(-1, 3) @ np.array(model.weights[:3]) + model.weights[3]
+    return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+
+
 def _score(model: Model):
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, ordinary = compressor(model.toxic), compressor(model.ordinary)
-        weights = np.array(model.weights)
         for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            raw = data.tobytes()
-            x = [features(distances(raw[a:b], toxic, ordinary)) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            z = np.array(x).reshape(-1, 3) @ weights[:3] + weights[3]
             out = {c: batch.column(c) for c in batch.schema.names if c != "text"}
-            yield pa.RecordBatch.from_pydict(out | {"score": 1 / (1 + np.exp(-np.clip(z, -35, 35)))})
+            yield pa.RecordBatch.from_pydict(out | {"score": _scores(batch, model, toxic, ordinary)})
 
     return scored
 
 
+def ordinary(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is below 0.5."""
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_toxic, by_ordinary = compressor(model.toxic), compressor(model.ordinary)
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch, model, by_toxic, by_ordinary) < 0.5))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of each row of ``docs`` (doc_id, text).
 
