@@ -982,7 +982,7 @@ def exported_files(spark, d):
 
 @query("SELECT ste_id, title, category, attributes_raw FROM c_raw_products")
 def read_products(spark, d):
-    return files.read_products(spark, f"{exported_files(spark, d)}/products")[0]
+    return files.read_products(spark, f"{exported_files(spark, d)}/products")[0].drop(files.PLACE)
 
 
 @query("""SELECT purchase_name, contract_id, ste_id, strftime(contract_date, '%Y-%m-%d') AS contract_date, cost,

@@ -16,7 +16,7 @@ def standardize_products(raw: DataFrame) -> DataFrame:
         text.clean(F.col("title")).alias("title_raw"),
         text.clean(F.col("category")).alias("category_raw"),
         text.clean(F.col("attributes_raw")).alias("attributes_raw"),
-        *[c for c in ("created_at", "updated_at") if c in raw.columns],
+        *[c for c in ("created_at", "updated_at", "_place") if c in raw.columns],
     )
     with_norms = cells.withColumns(
         {
@@ -45,7 +45,7 @@ def standardize_contracts(raw: DataFrame) -> DataFrame:
         "purchase_name", "contract_id", "ste_id", "customer_inn", "customer_name",
         "customer_region", "supplier_inn", "supplier_name", "supplier_region",
     ]
-    kept = [c for c in ("created_at", "updated_at") if c in raw.columns]
+    kept = [c for c in ("created_at", "updated_at", "_place") if c in raw.columns]
     cells = raw.select(
         *[text.clean(F.col(c)).alias(c) for c in words],
         F.col("contract_date").try_cast("timestamp").alias("contract_date"),

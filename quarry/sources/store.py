@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import catalog, profiles, scoring, signals, vocabulary
+from quarry.session import materialize
 from quarry.sources import files
 
 MODES = {
@@ -36,14 +37,14 @@ def write_table(df: DataFrame, folder: str, name: str) -> DataFrame:
 
 
 def new_rows(rows: DataFrame, key: str, run_at: datetime) -> DataFrame:
-    """Rows of one load with their time stamps; of rows with one key the last in the file."""
-    stamped = rows.withColumns(
-        {
-            "created_at": F.lit(run_at), "updated_at": F.lit(run_at),
-            "_row": F.monotonically_increasing_id(),
-        }
-    )
-    return catalog.latest_per_key(stamped, key, F.col("_row"), []).drop("_row")
+    """Rows of one load with their time stamps; of rows with one key the last, by file and place in it.
+
+    Rows that were not read from files have no place; theirs is the order of the table's partitions.
+    """
+    stamped = rows.withColumns({"created_at": F.lit(run_at), "updated_at": F.lit(run_at)})
+    if files.PLACE not in rows.columns:
+        stamped = stamped.withColumn(files.PLACE, F.monotonically_increasing_id())
+    return catalog.latest_per_key(stamped, key, F.col(files.PLACE), []).drop(files.PLACE)
 
 
 def load_products(
@@ -95,11 +96,11 @@ def changed_customers(
 def build_profiles(
     contracts: DataFrame, products: DataFrame, as_of: datetime
 ) -> dict[str, DataFrame]:
-    """The four profile tables of the given contracts."""
+    """The four profile tables of the given contracts; weights that others are made from are written once."""
     counts = profiles.purchase_counts(contracts, as_of)
-    by_product = profiles.customer_product_weights(contracts, as_of)
-    by_category = profiles.customer_category_weights(by_product, products)
-    by_token = profiles.customer_token_weights(contracts, by_product, products, as_of)
+    by_product = materialize(profiles.customer_product_weights(contracts, as_of), "product-weights")
+    by_category = materialize(profiles.customer_category_weights(by_product, products), "category-weights")
+    by_token = materialize(profiles.customer_token_weights(contracts, by_product, products, as_of), "token-weights")
     return {
         "profiles": profiles.customer_profiles(counts, by_category, by_product, by_token),
         "product_weights": by_product,
@@ -124,6 +125,8 @@ def refresh(
     missing = [kind for kind in MODES[mode] if not paths[kind]]
     if missing:
         raise ValueError(f"{mode} requires {' and '.join(missing)}")
+    if target == previous:
+        raise ValueError("a refresh writes a new folder, not the snapshot that it reads")
     base = None if mode == "replace_all" else previous
     if mode != "replace_all" and base is None:
         raise ValueError(f"{mode} needs a previous snapshot")

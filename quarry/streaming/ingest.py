@@ -7,39 +7,38 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from quarry.operators import catalog
+from quarry.session import materialize
 from quarry.sources import files
 
 KEYS = {"products": "ste_id", "contracts": "contract_key"}
 FIRST = {"products": [], "contracts": ["customer_inn"]}
 
 
-def ingest_stream(
-    spark: SparkSession, folder: str, kind: str, landing: str, sep: str = ";"
-) -> DataStreamWriter:
+def ingest_stream(spark: SparkSession, folder: str, kind: str, landing: str) -> DataStreamWriter:
     """Writer that validates and standardises new files of a folder into ``landing``.
 
-    Every batch has its own subfolders, so repeating a batch after a failure replaces it.
+    Files are read by lines, each by its own layout. Every batch has its own subfolders, so repeating a
+    batch after a failure replaces it.
     """
-    rows = files.read_cells(spark.readStream, folder, files.LAYOUTS[kind][0], sep)
+    lines = files.stream_lines(spark, folder)
     standardize = (
         catalog.standardize_products if kind == "products" else catalog.standardize_contracts
     )
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        headless = batch.filter(F.col(files.CORRUPT).isNotNull() | ~files.is_header(kind))
-        good, quarantine = files.validate_rows(headless, kind)
-        numbered = standardize(good).withColumn("_row", F.monotonically_increasing_id())
-        numbered.write.mode("overwrite").parquet(f"{landing}/{kind}/batch={batch_id}")
+        arrived = materialize(batch.withColumn("id", F.monotonically_increasing_id()), "arrived-lines")
+        good, quarantine = files.validate_rows(files.parse_lines(arrived, kind), kind)
+        standardize(good).write.mode("overwrite").parquet(f"{landing}/{kind}/batch={batch_id}")
         quarantine.write.mode("overwrite").parquet(f"{landing}/quarantine_{kind}/batch={batch_id}")
 
-    return rows.writeStream.foreachBatch(put).option(
+    return lines.writeStream.foreachBatch(put).option(
         "checkpointLocation", f"{landing}/_progress_{kind}"
     )
 
 
 def current_rows(spark: SparkSession, landing: str, kind: str) -> DataFrame:
-    """Rows in force: of all that arrived with one key the last."""
+    """Rows in force: of all that arrived with one key the last, by batch, file and place in the file."""
     arrived = spark.read.parquet(f"{landing}/{kind}")
-    order = F.struct("batch", "_row")
+    order = F.struct("batch", files.PLACE)
     latest = catalog.latest_per_key(arrived, KEYS[kind], order, FIRST[kind])
-    return latest.drop("batch", "_row")
+    return latest.drop("batch", files.PLACE)

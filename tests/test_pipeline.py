@@ -226,6 +226,22 @@ def test_headers_delimiters_and_quarantine(spark, tmp_path):
     assert found["contracts"].endswith("c.csv") and found["products"].endswith("d.csv")
 
 
+def test_files_of_a_folder_keep_their_own_layout_and_order(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    write_file(folder, "a.csv", "Идентификатор СТЕ;Наименование СТЕ;Категория;Атрибуты\n71;Старый;Стол;x:1\n72;Первый;Стол;x:1\n2;Категория;Атрибуты;x:1\n")
+    write_file(folder, "b.csv", "".join(f"{900 + i};Стул {i};Стулья;x:1\n" for i in range(60)) + "71;Новый;Стол;x:1\n72;Второй;Стол;x:1\n72;Третий;Стол;x:1\n")
+    write_file(folder, "c.csv", '81,"Лампа, синяя",Лампы,"цвет:синий"\n71,Последний,Стол,x:1\n')
+    good, bad = files.read_products(spark, str(folder))
+    loaded = {r.ste_id: r.title_raw for r in store.load_products(spark, None, good, RUN_AT).collect()}
+    assert loaded["71"] == "Последний" and loaded["72"] == "Третий" and loaded["81"] == "Лампа, синяя"
+    assert loaded["2"] == "Категория" and len(loaded) == 64 and bad.isEmpty()
+    landing = str(tmp_path / "landing")
+    ingest_streaming.ingest_stream(spark, str(folder), "products", landing).trigger(availableNow=True).start().awaitTermination()
+    streamed = {r.ste_id: r.title_raw for r in ingest_streaming.current_rows(spark, landing, "products").collect()}
+    assert streamed == loaded
+
+
 def test_events_sink_run_log_clear_and_exports(spark, snapshot, tables, tmp_path):
     folder = str(tmp_path)
     events = spark.createDataFrame(
