@@ -472,7 +472,7 @@ stats AS (SELECT count(*)::DOUBLE AS n, avg(len(l)) AS avg_len FROM d)
 """
 CORPUS_HITS = CORPUS_SQL + r""",
 q0 AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS l FROM benchmark),
-q AS (SELECT item_id, list_filter(l, lambda e, i: list_position(l, e) = i)[1:8] AS terms FROM q0),
+q AS (SELECT item_id, list_filter(l, lambda e, i: list_position(l, e) = i) AS terms FROM q0),
 qt AS (SELECT item_id, unnest(terms) AS term, len(terms) AS n_terms FROM q),
 hits AS (SELECT item_id, doc_id, n_terms, count(*) AS n_found, round(-sum(
     CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END
@@ -503,9 +503,7 @@ def corpus_search(spark, d):
         F.col("item_id").alias("query_id"),
         text.index_terms(F.lower("text"), K.CORPUS_TERM_PATTERN).alias("words"),
     )
-    keyed = asked.select(
-        "query_id", F.slice(F.array_distinct("words"), 1, index.MAX_TERMS).alias("terms")
-    )
+    keyed = asked.select("query_id", F.array_distinct("words").alias("terms"))
     searches = index.distinct_searches(keyed)
     best = index.best_hits(searches, corpus_index(spark, d), 10)
     return keyed.join(searches, "terms").join(best, "search").select(

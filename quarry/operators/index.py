@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import constants as K
 from quarry.functions import text
-from quarry.operators.ranking import spread_out, top_k
+from quarry.operators.ranking import spread_join, spread_out, top_k
 from quarry.session import materialize
 
 K1 = 1.2
@@ -17,7 +18,6 @@ B = 0.75
 MAX_TERMS = 8
 MAX_PREFIXES = 6
 BLOCK = 100_000
-LONG_LIST = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -155,15 +155,15 @@ def _any_term(searches: DataFrame, index: Index) -> DataFrame:
     )
 
 
-def _any_prefix(searches: DataFrame, index: Index) -> DataFrame:
-    """Documents that hold a term starting with one of the first terms.
+def _any_prefix(searches: DataFrame, index: Index, prefixes: int = MAX_PREFIXES) -> DataFrame:
+    """Documents that hold a term starting with one of the first ``prefixes`` terms.
 
     A prefix counts as one term: its frequencies are those of all terms it covers together.
     """
     n = index.stats.select("n").scalar()
     avg_len = index.stats.select("avg_len").scalar()
     wanted = searches.select(
-        "search", F.explode(F.slice("terms", 1, MAX_PREFIXES)).alias("prefix")
+        "search", F.explode(F.slice("terms", 1, prefixes)).alias("prefix")
     )
     covered = index.terms.select(
         "term", "blocks",
@@ -195,34 +195,14 @@ def distinct_searches(keyed: DataFrame) -> DataFrame:
     return materialize(lists.withColumn("search", F.monotonically_increasing_id()), "searches")
 
 
-def _is_long(searches: DataFrame, index: Index) -> DataFrame:
-    """Searches with ``is_long``: whether their terms occur in very many documents together."""
-    sizes = (
-        searches.select("search", F.explode("terms").alias("term"))
-        .join(index.terms, "term")
-        .groupBy("search")
-        .agg(F.sum("df").alias("reach"))
-    )
-    return searches.join(sizes, "search", "left").withColumn(
-        "is_long", F.coalesce("reach", F.lit(0)) > LONG_LIST
-    )
-
+def _cut(parts: DataFrame, pool: int) -> DataFrame:
+    """Best hits of each search with the number of all its hits.
 
-def _cut_short(parts: DataFrame, pool: int) -> DataFrame:
-    """Best hits of searches with bounded hit lists: one shuffle by search does it all."""
-    together = parts.repartition("search")
-    summed = together.groupBy("search", "doc").agg(F.round(F.sum("part"), 9).alias("bm25"))
-    ordered = Window.partitionBy("search").orderBy("bm25", "doc")
-    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return summed.withColumns(
-        {"hit_count": F.count("*").over(whole), "hit_rank": F.row_number().over(ordered)}
-    ).filter(F.col("hit_rank") <= pool)
-
-
-def _cut_long(parts: DataFrame, pool: int) -> DataFrame:
-    """Best hits of searches with long hit lists, each spread over many tasks."""
+    Scores are added up by (search, doc), counted with partial sums and cut by (search, part of the
+    documents) before the last ranking, so that a search that hits every document is the work of many tasks.
+    """
     summed = materialize(
-        parts.groupBy("search", "doc").agg(F.round(F.sum("part"), 9).alias("bm25")), "long-hits"
+        parts.groupBy("search", "doc").agg(F.round(F.sum("part"), 9).alias("bm25")), "hit-sums"
     )
     counts = summed.groupBy("search").agg(F.count("*").alias("hit_count"))
     best = top_k(
@@ -231,20 +211,22 @@ def _cut_long(parts: DataFrame, pool: int) -> DataFrame:
     return best.join(counts, "search").select("search", "doc", "bm25", "hit_count", "hit_rank")
 
 
-def best_hits(searches: DataFrame, index: Index, pool: int) -> DataFrame:
+def best_hits(searches: DataFrame, index: Index, pool: int, prefixes: int = MAX_PREFIXES) -> DataFrame:
     """Strongest ``pool`` hits per search of the first level that has any.
 
+    The last level takes the first ``prefixes`` terms of a search as prefixes, as product search does.
+
     (search, doc, bm25, hit_count, hit_rank, level), where ``hit_count`` counts all hits of the
     level. Scores are rounded so that the order of summing cannot reorder equal matches.
     """
-    left = materialize(_is_long(searches, index), "searches-sized")
+    left = searches
     levels = []
-    for level, matches in enumerate((_all_terms, _any_term, _any_prefix), start=1):
-        short = _cut_short(matches(left.filter("not is_long"), index), pool)
-        long = _cut_long(matches(left.filter("is_long"), index), pool)
-        found = materialize(short.unionByName(long).withColumn("level", F.lit(level)), "hits")
+    by_prefix = functools.partial(_any_prefix, prefixes=prefixes)
+    for level, matches in enumerate((_all_terms, _any_term, by_prefix), start=1):
+        found = materialize(_cut(matches(left, index), pool).withColumn("level", F.lit(level)), "hits")
         levels.append(found)
-        left = left.join(found.select("search").distinct(), "search", "left_anti")
+        if level < 3:
+            left = materialize(left.join(found.select("search").distinct(), "search", "left_anti"), "searches-left")
     return levels[0].unionByName(levels[1]).unionByName(levels[2])
 
 
@@ -258,4 +240,5 @@ def retrieve(understood: DataFrame, index: Index, pool: int) -> DataFrame:
     keyed = search_keys(understood)
     searches = distinct_searches(keyed)
     asked = keyed.select("query_id", "terms").join(searches, "terms").select("query_id", "search")
-    return asked.join(best_hits(searches, index, pool), "search").drop("search")
+    # One search may be asked by most users, so its queries are spread over many join keys.
+    return spread_join(asked, best_hits(searches, index, pool), "search", "query_id").drop("search")

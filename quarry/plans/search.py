@@ -142,13 +142,20 @@ def rescore(
     return score(page, understood, tables, overlay)
 
 
-def total_counts(ranked: DataFrame, filtered: bool = False) -> DataFrame:
-    """Number of results per query: all hits of the index unless filters narrow them down."""
+def total_counts(ranked: DataFrame, filtered: bool = False, queries: DataFrame | None = None) -> DataFrame:
+    """Number of results per query: all hits of the index unless filters narrow them down.
+
+    With ``queries`` (query_id, …), those without a hit or without a term are listed with 0.
+    """
     counted = ranked.groupBy("query_id").agg(
         F.count("*").alias("shown"), F.max("hit_count").alias("hits")
     )
     total = F.col("shown") if filtered else F.greatest("shown", "hits")
-    return counted.select("query_id", total.alias("total_count"))
+    found = counted.select("query_id", total.alias("total_count"))
+    if queries is None:
+        return found
+    every = queries.select("query_id").distinct().join(found, "query_id", "left")
+    return every.select("query_id", F.coalesce("total_count", F.lit(0)).alias("total_count"))
 
 
 def load_search_tables(spark: SparkSession, folder: str) -> SearchTables:

@@ -90,9 +90,9 @@ def brute_bm25(docs, terms, prefix=False):
     return score
 
 
-@pytest.mark.parametrize("long_list", [1_000_000, 3])
-def test_three_level_retrieval_equals_brute_force(spark, monkeypatch, long_list):
-    monkeypatch.setattr(index, "LONG_LIST", long_list)
+@pytest.mark.parametrize("threshold", ["1000", "3"])
+def test_three_level_retrieval_equals_brute_force(spark, monkeypatch, threshold):
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", threshold)
     monkeypatch.setattr(index, "BLOCK", 5)
     rng = random.Random(3)
     vocabulary_words = ["alpha", "beta", "gamma", "delta", "alpine", "betray", "omega"]
@@ -117,6 +117,20 @@ def test_three_level_retrieval_equals_brute_force(spark, monkeypatch, long_list)
         assert [r.bm25 for r in rows] == pytest.approx([expected[d] for d in order], abs=1e-8)
 
 
+    spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
+
+
+def test_a_prefix_of_every_document_and_a_search_of_most_users(spark):
+    table = spark.range(3000).select(F.concat(F.lit("d"), F.col("id")).alias("id"), F.concat(F.lit("common"), F.col("id") % 50, F.lit(" word")).alias("body"))
+    queries = spark.range(400).select(
+        F.concat(F.lit("q"), F.col("id")).alias("query_id"),
+        F.when(F.col("id") % 10 > 0, F.array(F.lit("comm"))).otherwise(F.array(F.concat(F.lit("common"), (F.col("id") / 10).cast("int")))).alias("retrieval_tokens"),
+    )
+    found = index.retrieve(queries, index.build_index(table, "id", "body"), 20)
+    rows = {(r.level, r.hit_count, r.n): r["count"] for r in found.groupBy("query_id", "level", "hit_count").agg(F.count("*").alias("n")).groupBy("level", "hit_count", "n").count().collect()}
+    assert rows == {(3, 3000, 20): 360, (1, 60, 20): 40}
+
+
 def test_salted_top_k_is_exact(spark):
     rows = spark.range(5000).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("key"),
