@@ -25,7 +25,7 @@ QUERIES = [
 @pytest.fixture(scope="module")
 def understood(spark, tables):
     queries = spark.createDataFrame(QUERIES, "query_id string, query string").withColumn(
-        "customer_inn", F.lit("7700000001")
+        "customer_inn", F.lit("5001234501")
     ).withColumn("session_id", F.lit("s1"))
     from quarry.session import materialize
 
@@ -49,7 +49,7 @@ def test_full_load(spark, snapshot):
 
 
 def test_future_contract_gives_no_last_purchase(spark, snapshot):
-    profile = store.read_table(spark, snapshot[0], "profiles").filter("customer_inn = '7700000003'").first()
+    profile = store.read_table(spark, snapshot[0], "profiles").filter("customer_inn = '5001234503'").first()
     assert profile.last_purchase_at is None and profile.purchase_count == 1
     assert profile.matched_purchase_count == 0
 
@@ -57,7 +57,7 @@ def test_future_contract_gives_no_last_purchase(spark, snapshot):
 def test_top_results(ranked):
     tops = {q: rows[0].ste_id for q, rows in ranked.items() if rows}
     assert tops == {
-        "lenovo": "3001", "layout": "1001", "typo": "1001", "book": "4001", "synonym": "1001", "usb": "1001",
+        "lenovo": "530777", "layout": "310201", "typo": "310201", "book": "640038", "synonym": "310201", "usb": "310201",
     }
     assert ranked["none"] == []
 
@@ -90,13 +90,13 @@ def test_personalised_score_is_not_below_baseline(understood, tables, ranked):
     base = {
         (r.query_id, r.ste_id): r.score for r in search_plan.rank(understood, tables).collect()
     }
-    assert ranked["lenovo"][0].score > base["lenovo", "3001"]
+    assert ranked["lenovo"][0].score > base["lenovo", "530777"]
     assert set(base) == {(r.query_id, r.ste_id) for rows in ranked.values() for r in rows}
 
 
 def test_negative_event_lowers_the_product(spark, understood, tables, ranked):
     events = spark.createDataFrame(
-        [("e1", "s1", "7700000001", "marked_irrelevant", "1001", datetime(2025, 6, 1))],
+        [("e1", "s1", "5001234501", "marked_irrelevant", "310201", datetime(2025, 6, 1))],
         "event_id string, session_id string, customer_inn string, event_type string, ste_id string, created_at timestamp",
     )
     by_product, by_category = signals.session_signals(signals.enrich_events(events, tables.products))
@@ -122,23 +122,23 @@ def test_explanation_and_facets(ranked, understood, tables, overlay):
 
 def test_filters(spark, understood, tables):
     wanted = spark.createDataFrame(
-        [("usb", "attributes", "Цвет::черный"), ("usb", "attributes", " Объем накопителя::4.00000 "),
+        [("usb", "attributes", "Цвет::белый"), ("usb", "attributes", " Объем накопителя::4.00000 "),
          ("lenovo", "brands", "Dell"), ("book", "categories", "Канцелярия")],
         "query_id string, kind string, value string",
     )
     rows = search_plan.rank(understood, tables, filters=wanted).collect()
-    assert {r.ste_id for r in rows if r.query_id == "usb"} == {"1002"}
+    assert {r.ste_id for r in rows if r.query_id == "usb"} == {"310202"}
     assert not [r for r in rows if r.query_id == "lenovo"]
-    assert {r.ste_id for r in rows if r.query_id == "book"} == {"4001"}
+    assert {r.ste_id for r in rows if r.query_id == "book"} == {"640038"}
 
 
 def test_feed(spark, snapshot, tables, overlay):
     contracts = store.read_table(spark, snapshot[0], "contracts")
-    customers = spark.createDataFrame([("7700000001",), (K.NEW_CUSTOMER,)], "customer_inn string")
+    customers = spark.createDataFrame([("5001234501",), (K.NEW_CUSTOMER,)], "customer_inn string")
     rows = recommend_plan.recommend(customers, tables.products, contracts, overlay).orderBy("rank").collect()
-    own = [r for r in rows if r.customer_inn == "7700000001"]
+    own = [r for r in rows if r.customer_inn == "5001234501"]
     fresh = [r for r in rows if r.customer_inn == K.NEW_CUSTOMER]
-    assert own[0].ste_id in {"1001", "3001"} and own[0].feed_source == "personalized_feed"
+    assert own[0].ste_id in {"310201", "530777"} and own[0].feed_source == "personalized_feed"
     assert len({r.ste_id for r in own}) == len(own)
     assert fresh and all(r.bucket == "popular" and r.feed_source == "cold_start_feed" for r in fresh)
     explained = feed.explain_feed(
@@ -149,11 +149,11 @@ def test_feed(spark, snapshot, tables, overlay):
 
 def test_incremental_loads_equal_full_load(spark, snapshot, tmp_path):
     later = RUN_AT + timedelta(days=1)
-    monitor = '5001;Монитор Dell UltraSharp U2720Q;Мониторы;"Диагональ:27 дюйм"\n'
+    monitor = '770456;Монитор Dell UltraSharp U2720Q;Мониторы;"Диагональ:27 дюйм"\n'
     bought = (
-        '"Монитор Dell UltraSharp U2720Q";50006;5001;2025-03-05 00:00:00;42000.00;7700000004;ГБУ Тест 4;'
-        "Москва;7800000003;ООО Поставщик 3;Москва\n"
-        '"Неизвестный товар";50007;5001;2025-03-06 00:00:00;не цена;7700000001;ГБУ Тест 1;Москва;1;П;М\n'
+        '"Монитор Dell UltraSharp U2720Q";81056;770456;2025-03-05 00:00:00;42000.00;5001234504;Учреждение 4;'
+        "Тула;4700555003;Торговый дом 3;Тула\n"
+        '"Неизвестный товар";81057;770456;2025-03-06 00:00:00;не цена;5001234501;Учреждение 1;Тула;1;П;М\n'
     )
     step = str(tmp_path / "step")
     run = store.refresh(
@@ -179,25 +179,25 @@ def test_incremental_loads_equal_full_load(spark, snapshot, tmp_path):
         "contracts": ["contract_key", "cost", "matched_product"],
     }.items():
         assert content(step, name, *columns) == content(whole, name, *columns)
-    new = store.read_table(spark, step, "profiles").filter("customer_inn = '7700000004'").first()
+    new = store.read_table(spark, step, "profiles").filter("customer_inn = '5001234504'").first()
     assert new.purchase_count == 1 and new.matched_purchase_count == 1
 
 
 def test_product_load_rematches_and_rebuilds_profiles(spark, snapshot, tmp_path):
-    missing = '9999;Неизвестный товар;Прочее;"Цвет:синий"\n1001;Новое имя;USB-накопители;"A:b"\n'
+    missing = '990990;Неизвестный товар;Прочее;"Цвет:синий"\n310201;Новое имя;USB-накопители;"A:b"\n'
     target = str(tmp_path / "t")
     store.refresh(
         spark, target, "upsert_ste", RUN_AT + timedelta(days=1), previous=snapshot[0],
         products_path=write_file(tmp_path, "p.csv", missing),
     )
-    matched = store.read_table(spark, target, "contracts").filter("ste_id = '9999'").first()
+    matched = store.read_table(spark, target, "contracts").filter("ste_id = '990990'").first()
     assert matched.matched_product
-    profile = store.read_table(spark, target, "profiles").filter("customer_inn = '7700000003'").first()
+    profile = store.read_table(spark, target, "profiles").filter("customer_inn = '5001234503'").first()
     assert profile.matched_purchase_count == 1
-    renamed = store.read_table(spark, target, "products").filter("ste_id = '1001'").first()
+    renamed = store.read_table(spark, target, "products").filter("ste_id = '310201'").first()
     assert renamed.title_raw == "Новое имя" and renamed.created_at == RUN_AT
     attributes = catalog.product_attributes(store.read_table(spark, target, "products"))
-    assert [r.name_raw for r in attributes.filter("ste_id = '1001'").collect()] == ["A"]
+    assert [r.name_raw for r in attributes.filter("ste_id = '310201'").collect()] == ["A"]
 
 
 def test_modes_are_checked(spark, tmp_path):
@@ -245,16 +245,16 @@ def test_files_of_a_folder_keep_their_own_layout_and_order(spark, tmp_path):
 def test_events_sink_run_log_clear_and_exports(spark, snapshot, tables, tmp_path):
     folder = str(tmp_path)
     events = spark.createDataFrame(
-        [("e1", "s", "7700000001", "result_saved", "1001", datetime(2025, 6, 1)),
-         ("e2", "s", "7700000001", "unknown_type", "1001", datetime(2025, 6, 1)),
-         ("e3", "s", "7700000001", "search_submitted", None, datetime(2025, 6, 1))],
+        [("e1", "s", "5001234501", "result_saved", "310201", datetime(2025, 6, 1)),
+         ("e2", "s", "5001234501", "unknown_type", "310201", datetime(2025, 6, 1)),
+         ("e3", "s", "5001234501", "search_submitted", None, datetime(2025, 6, 1))],
         "event_id string, session_id string, customer_inn string, event_type string, ste_id string, created_at timestamp",
     )
     store.append_events(events, tables.products, folder)
     store.append_events(events.filter("event_id = 'e3'"), tables.products, folder)
     assert store.read_table(spark, folder, "events").count() == 3
     saved = catalog.saved_results(store.read_table(spark, folder, "saved_results"), tables.products).collect()
-    assert [r.title_raw for r in saved] == ["Флеш-накопитель SMARTBUY Glossy USB 2.0 черный 16 Гб"]
+    assert [r.title_raw for r in saved] == ["Флеш-накопитель SMARTBUY Quartz USB 3.1 серый 16 Гб"]
     run = spark.createDataFrame([("a", datetime(2025, 1, 1)), ("b", datetime(2025, 1, 2))], "run_id string, finished_at timestamp")
     store.append_run_log(run, folder)
     assert [r.run_id for r in store.recent_runs(spark, folder, 1).collect()] == ["b"]
@@ -268,7 +268,7 @@ def test_events_sink_run_log_clear_and_exports(spark, snapshot, tables, tmp_path
 def test_signal_stream_equals_batch(spark, tables, tmp_path):
     rows = [
         (i, f"s{i % 3}", ["result_opened", "result_saved", "marked_irrelevant"][i % 3 if i % 7 else 1],
-         ["1001", "3001", "2001"][i % 2], datetime(2025, 6, 1) + timedelta(seconds=i * 37 % 1000))
+         ["310201", "530777", "420115"][i % 2], datetime(2025, 6, 1) + timedelta(seconds=i * 37 % 1000))
         for i in range(900)
     ]
     events = spark.createDataFrame(
@@ -299,9 +299,9 @@ def test_ingest_stream(spark, tmp_path):
         return ingest_streaming.current_rows(spark, landing, "products")
 
     assert load().count() == 5
-    write_file(tmp_path / "in", "2.csv", '1001;Новое имя;USB-накопители;"A:b"\nплохо;строка\n')
+    write_file(tmp_path / "in", "2.csv", '310201;Новое имя;USB-накопители;"A:b"\nплохо;строка\n')
     rows = {r.ste_id: r.title_raw for r in load().collect()}
-    assert len(rows) == 5 and rows["1001"] == "Новое имя"
+    assert len(rows) == 5 and rows["310201"] == "Новое имя"
     assert spark.read.parquet(f"{landing}/quarantine_products").count() == 1
 
 
@@ -315,9 +315,9 @@ def test_contains_search_and_lookup(spark, tables):
     )
     rows = catalog.contains_search(products, queries, limit=1).collect()
     assert {(r.query_id, r.ste_id, r.total_count) for r in rows} == {
-        ("1", "1001", 2), ("2", "1001", 2), ("5", "1001", 5),
+        ("1", "310201", 2), ("2", "310201", 2), ("5", "310201", 5),
     }
-    ids = spark.createDataFrame([("3001",), ("3001",)], "ste_id string")
+    ids = spark.createDataFrame([("530777",), ("530777",)], "ste_id string")
     found = catalog.lookup_products(tables.products, ids).collect()
     assert [r.brand_guess for r in found] == ["Lenovo"] and len(found[0].attributes) == 3
 
