@@ -242,6 +242,37 @@ def test_permutation_index(spark, points):
     assert permutation_index.nearest(vectors(spark, points[:0]), F.col("vec_id") % 10 == 0).count() == 0
 
 
+@pytest.mark.parametrize("shape", ["lengths", "cluster", "copies", "few"])
+def test_permutation_index_keeps_its_recall(spark, shape):
+    rng = np.random.default_rng(8)
+    found = rng.normal(size=({"few": 500}.get(shape, 2000), 64))
+    found /= np.linalg.norm(found, axis=1, keepdims=True)
+    if shape == "lengths":
+        found *= np.exp(rng.normal(size=(2000, 1)) / 2)
+    elif shape == "cluster":
+        found[::3] = found[0] + rng.normal(size=(667, 64)) * 0.08
+    elif shape == "copies":
+        found[::3] = found[0]
+    found = found.astype(np.float32).astype(np.float64)
+    rows = permutation_index.nearest(vectors(spark, [(i, v.tolist()) for i, v in enumerate(found)]), F.col("vec_id") % 20 == 7, 20).collect()
+    mine, hits, asked = {}, 0, range(7, len(found), 20)
+    for r in rows:
+        mine.setdefault(r["query_id"], set()).add(r["vec_id"])
+    for q in asked:
+        scores = np.round(found @ found[q], 9)
+        scores[q] = -np.inf
+        hits += len(mine[q] & set(np.argsort(-scores, kind="stable")[:20].tolist()))
+    assert hits / (20 * len(asked)) >= 0.9
+
+
+def test_permutation_index_needs_few_copies():
+    ids = np.repeat([4, 1, 3, 2], [9, 2, 1, 5])
+    kept = permutation_index._needed(ids, np.tile([[0.5, -0.0]], (17, 1)), 2)
+    assert sorted(ids[kept].tolist()) == [1, 1, 2, 2]
+    kept = permutation_index._needed(ids, np.repeat([[0.5, 1.0], [2.0, 1.0]], [9, 8], axis=0), 2)
+    assert sorted(ids[kept].tolist()) == [1, 1, 2, 2, 4, 4]
+
+
 def test_simhash(spark, vocabulary):
     rng = random.Random(7)
     texts = []
