@@ -106,6 +106,26 @@ def test_line_dedup(spark, vocabulary):
     assert line_dedup.report(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_tells_rows_of_one_id_apart(spark):
+    # Three numbered lines a row: unique ones, and ones that stand elsewhere.
+    rows = [
+        (None, "one two three\nred green blue\nalpha beta gamma"),
+        (None, "four five six\nseven eight nine\nalpha beta gamma"),
+        (None, "ten eleven twelve\nred green blue\nunique line here"),
+        (7, "north south\nred green blue\neast west"),
+        (7, "north south\nup down\nleft right"),
+        (8, "said twice under one id"), (8, "said twice under one id"),
+        (None, "a whole text again\n\nits other line"), (None, "a whole text again\n\nits other line"), (None, None), (None, None),
+    ]
+    docs = corpus(spark, [t for _, t in rows], ids=[i for i, _ in rows])
+    found = line_dedup.dedup(docs).collect()
+    assert len(found) == len(rows)
+    kept = Counter(line for r in found for line in (r["text"] or "").split("\n") if line)
+    assert kept == {line: 1 for _, t in rows for line in (t or "").split("\n") if line} | {"said twice under one id": 2}
+    report = line_dedup.report(docs).collect()
+    assert sum(r["n_removed"] for r in report) == 6 and len(report) == len(rows)
+
+
 @pytest.fixture(scope="module")
 def lattices():
     with open(sampling.MODEL, "rb") as handle:
