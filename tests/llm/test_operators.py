@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quarry.llm import (
-    cover_tree, graph, kneser_ney, language, line_dedup, mixing, permutation_index, run_length_index, sampling, simhash, text, toxicity,
+    cover_tree, graph, kneser_ney, language, line_dedup, mixing, permutation_index, run_length_index, sampling, simhash, similar, text, toxicity,
 )
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, key string, bits string, line string, size string"
@@ -324,6 +324,36 @@ def test_simhash(spark, vocabulary):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_copies_of_five_word_similarity(spark):
+    rng = random.Random(9)
+    texts = []
+    for _ in range(30):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(150)]
+        for changes in (0, 1, 2, 3, 5):
+            copy = list(words)
+            for place in rng.sample(range(0, 150, 8), changes):
+                copy[place] = "other" + str(rng.random())
+            texts.append(" ".join(copy))
+    texts += ODD
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else {()} for t in texts]
+    root = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])):
+            old, new = max(root[a], root[b]), min(root[a], root[b])
+            root = [new if r == old else r for r in root]
+    kept = similar.first_of_each(corpus(spark, texts))
+    assert {r["doc_id"] for r in kept.collect()} == set(root)
+    assert len(set(root)) < 80 and kept.columns == corpus(spark, texts).columns
+
+
+def test_near_copies_without_or_under_one_id(spark, vocabulary):
+    rng = random.Random(10)
+    a, b, c, d = (prose(rng, 60, vocabulary) for _ in range(4))
+    docs = corpus(spark, [a, a, a, b, c, c, d, d, None, ""], ids=[None, None, 3, 4, 4, None, None, None, 9, None])
+    kept = Counter((r["doc_id"], r["text"]) for r in similar.first_of_each(docs).collect())
+    assert kept == {(3, a): 1, (4, b): 1, (4, c): 1, (None, d): 1, (9, None): 1}
+
+
 def test_anchors_meet_for_all_close_fingerprints():
     rng = np.random.default_rng(8)
     x = rng.integers(0, 2**63, 200).astype(np.uint64)
