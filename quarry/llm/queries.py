@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import cover_tree, kneser_ney, language, line_dedup, mixing, permutation_index, run_length_index, sampling, simhash, toxicity
+from quarry.llm import contamination, cover_tree, kneser_ney, language, line_dedup, mixing, permutation_index, run_length_index, sampling, simhash, toxicity
 from quarry.llm.text import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,36 @@ def op10_mixing(spark, d):
 @query
 def op6_simhash(spark, d):
     return simhash.near_duplicates(documents(spark, d))
+
+
+@query
+def op13_decontamination(spark, d):
+    return contamination.report(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet"))
+
+
+SQL["op13_decontamination"] = r"""
+WITH b AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w
+  FROM benchmark WHERE text IS NOT NULL
+), g AS (
+  SELECT DISTINCT item_id, least(len(w), 10) n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') t
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) i FROM b WHERE len(w) > 0)
+), d AS (
+  SELECT row_number() OVER () AS k, doc_id,
+    coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) w
+  FROM documents
+), p AS (
+  SELECT k, n, i, array_to_string(w[i : i + n - 1], ' ') t
+  FROM (SELECT k, w, n, unnest(range(1, len(w) - n + 2)) i FROM d, (SELECT DISTINCT n FROM g))
+), m AS (
+  SELECT DISTINCT k, n, i, t FROM p SEMI JOIN g USING (n, t)
+), h AS (
+  SELECT k, count(DISTINCT x) n_hit FROM (SELECT k, unnest(range(i, i + n)) x FROM m) GROUP BY k
+), l AS (
+  SELECT k, count(*) n_items, string_agg(item, ',' ORDER BY item) items
+  FROM (SELECT DISTINCT k, CAST(item_id AS VARCHAR) item FROM m JOIN g USING (n, t) WHERE item_id IS NOT NULL) GROUP BY k
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items,
+  sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (k) LEFT JOIN l USING (k)
+"""
