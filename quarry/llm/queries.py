@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import contamination, cover_tree, kneser_ney, language, line_dedup, mixing, permutation_index, run_length_index, sampling, simhash, toxicity
+from quarry.llm import contamination, conversation_repair, cover_tree, kneser_ney, language, line_dedup, mixing, permutation_index, run_length_index, sampling, simhash, toxicity
 from quarry.llm.text import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,3 +158,99 @@ SELECT doc_id, CAST(len(w) AS BIGINT) n_words, coalesce(n_hit, 0) n_hit, coalesc
   sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (k) LEFT JOIN l USING (k)
 """
+
+
+@query
+def op12_conversation_repair(spark, d):
+    rows = spark.read.parquet(f"{d}/conversations.parquet")
+    return conversation_repair.report(rows, conversation_repair.damaged(rows))
+
+
+_CRC_TABLE = """crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(
+    range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, CAST(i AS BIGINT))) t
+)"""
+
+
+def _crc32(column: str) -> str:
+    """CRC-32 of an ASCII string, by the table of ``_CRC_TABLE``."""
+    codes = f"list_transform(range(1, len({column}) + 1), lambda k: CAST(ascii(substr({column}, k, 1)) AS BIGINT))"
+    return f"xor(list_reduce({codes}, lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295), 4294967295)"
+
+
+def _dearer(way: str, cost: str, letter: str) -> str:
+    """A way, as nine digits of cost and its letters, after one more edit."""
+    return f"format('{{:09d}}', CAST(left({way}, 9) AS BIGINT) + {cost}) || substr({way}, 10) || '{letter}'"
+
+
+def _one_turn() -> str:
+    """The cheapest ways to the four states after one turn (gone, initial, more), before further inserted ones."""
+    def stays(state: int, cost: str, letter: str, only: str = "TRUE") -> str:
+        return f"CASE WHEN NOT gone AND {only} THEN {_dearer(f's{state}', cost, letter)} END"
+
+    def to(state: int, initial: str, given: tuple[int, ...], made: bool = True) -> str:
+        ways = [_dearer(f"s{state}", "2", "D")] + [stays(g, "more", "K", f"initial = '{initial}'") for g in given]
+        ways += [stays(g, "1 + more", "R") for g in given if made]
+        return f"least({', '.join(ways)}) AS s{state}"
+
+    return ", ".join([f"{_dearer('s0', '2', 'D')} AS s0", to(1, "s", (0,), False), to(2, "u", (0, 1, 3)), to(3, "a", (2,))])
+
+
+def _with_inserts(ways: str) -> str:
+    """The ways of a subquery (conv_id, i, s0 to s3), also with turns inserted after them."""
+    to_user = ", ".join(_dearer(s, "5", "I") for s in ("s0", "s1", "s3"))
+    return f"""
+    SELECT conv_id, i, s0, s1, least(u, {_dearer('a', '5', 'I')}) AS s2, a AS s3 FROM (
+      SELECT *, least(s3, {_dearer('u', '5', 'I')}) AS a FROM (SELECT *, least(s2, {to_user}) AS u FROM ({ways}))
+    )"""
+
+
+SQL["op12_conversation_repair"] = rf"""
+WITH RECURSIVE {_CRC_TABLE}, c AS (
+  SELECT *, {_crc32('name')} % 20 AS fault FROM crc, (
+    SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations
+  )
+), d AS (
+  SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text,
+    unnest(CASE fault WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM c WHERE fault <> 0
+), r AS (
+  SELECT conv_id, turn, role, text, left(role, 1) AS initial, row_number() OVER w AS i, lag(left(role, 1)) OVER w AS previous,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' END AS fault
+  FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy)
+), n AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) AS n,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (previous || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM r GROUP BY conv_id
+), turns AS (
+  SELECT conv_id, i, initial, coalesce(fault IN ('blank', 'duplicate'), FALSE) AS gone, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS more FROM r
+), ways AS (
+  {_with_inserts("SELECT conv_id, CAST(0 AS BIGINT) AS i, '000000000' AS s0, CAST(NULL AS VARCHAR) AS s1, CAST(NULL AS VARCHAR) AS s2, CAST(NULL AS VARCHAR) AS s3 FROM n")}
+  UNION ALL
+  {_with_inserts(f"SELECT t.conv_id, t.i, {_one_turn()} FROM ways w JOIN turns t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.i = w.i + 1")}
+), best AS (
+  SELECT w.conv_id, CAST(left(least(s0, s3), 9) AS BIGINT) AS cost, substr(least(s0, s3), 10) AS audit
+  FROM ways w JOIN n ON n.conv_id IS NOT DISTINCT FROM w.conv_id AND n.n = w.i
+), letters AS (
+  SELECT conv_id, k, audit[k] AS letter, len(replace(audit[1 : k], 'I', '')) AS used
+  FROM (SELECT *, unnest(range(1, len(audit) + 1)) AS k FROM best)
+), kept AS (
+  SELECT l.conv_id, l.k, l.letter, r.role, CASE WHEN l.letter = 'I' THEN '' ELSE r.text END AS text,
+    row_number() OVER (PARTITION BY l.conv_id ORDER BY l.k)
+      - max(CASE WHEN l.letter = 'K' AND r.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv_id) AS m
+  FROM letters l LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM l.conv_id AND r.i = l.used WHERE l.letter <> 'D'
+), lines AS (
+  SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN m % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY k) AS lines
+  FROM kept GROUP BY conv_id
+), ids AS (
+  SELECT DISTINCT conv_id FROM conversations
+)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM ids LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM ids.conv_id
+  LEFT JOIN lines ON lines.conv_id IS NOT DISTINCT FROM ids.conv_id
+"""
