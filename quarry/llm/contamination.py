@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from quarry.llm.text import LOWER, PIECE, pieces, powers, prefix_hash, range_hash, utf8
+from quarry.llm.text import LOWER, pieces, powers, range_hash, span_hashes, utf8
 from quarry.session import materialize
 
 #: Words of a window; different windows that one broadcast set holds (of about 50 bytes each).
@@ -48,15 +48,8 @@ class Words:
         return cls(low, start, end, np.searchsorted(start, offsets))
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word, made from stretches of about PIECE bytes."""
-        out, first = np.empty(len(self.start), np.uint64), 0
-        while first < len(out):
-            last = max(first + 1, int(np.searchsorted(self.end, self.start[first] + PIECE, side="right")))
-            a, b = self.start[first], self.end[last - 1]
-            prefix = prefix_hash(self.data[a:b], _WORD_BASE)
-            out[first:last] = range_hash(prefix, self.start[first:last] - a, self.end[first:last] - a, _WORD_BASE)
-            first = last
-        return out
+        """A 64-bit hash of each word."""
+        return span_hashes(self.data, self.start, self.end, _WORD_BASE)
 
     def digest(self, first: int, count: int) -> bytes:
         """SHA-256 of ``count`` words, joined by single spaces."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import contamination, conversation_repair, cover_tree, kneser_ney, language, line_dedup, mixing, permutation_index, run_length_index, sampling, simhash, toxicity
+from quarry.llm import contamination, conversation_repair, cover_tree, kneser_ney, language, line_dedup, mixing, periodic_runs, permutation_index, run_length_index, sampling, simhash, toxicity
 from quarry.llm.text import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -254,3 +254,40 @@ SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coal
 FROM ids LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM ids.conv_id
   LEFT JOIN lines ON lines.conv_id IS NOT DISTINCT FROM ids.conv_id
 """
+
+
+@query
+def op11_periodic_runs(spark, d):
+    return periodic_runs.report(periodic_runs.planted(documents(spark, d)))
+
+
+SQL["op11_periodic_runs"] = rf"""
+WITH {_CRC_TABLE}, d AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w, {_crc32('name')} AS h
+  FROM crc, (SELECT *, CAST(doc_id AS VARCHAR) AS name FROM documents)
+), p AS (
+  SELECT *, 1 + (len(w) - a) // (3 + (h // 10) % 8) AS p FROM (SELECT *, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d)
+), m AS (
+  SELECT k, doc_id, CASE WHEN h % 10 = 0 AND len(w) > 0
+    THEN list_transform(range(len(w)), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM p
+), g AS (
+  SELECT k, i, hash(w[i + 1 : i + 6]) AS g FROM (SELECT k, w, unnest(range(0, len(w) - 5)) AS i FROM m)
+), e AS (
+  SELECT x.k, x.i, y.i - x.i AS q FROM g x JOIN g y ON x.k = y.k AND x.g = y.g AND x.i < y.i
+), s AS (
+  SELECT k, q, min(i) AS s, count(*) + 5 + q AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY k, q ORDER BY i) AS island FROM e) GROUP BY k, q, island
+), r AS (
+  SELECT k, s, n, min(q) AS q FROM s WHERE n >= greatest(12, 2 * q) GROUP BY k, s, n
+), o AS (
+  SELECT k, count(*) AS n_runs, max(struct_pack(n := n, s := -s, q := -q)) AS top, string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS lines
+  FROM r GROUP BY k
+), dropped AS (
+  SELECT k, list(i) AS gone FROM (SELECT DISTINCT k, unnest(range(s + q, s + n)) AS i FROM r) GROUP BY k
+), kept AS (
+  SELECT k, string_agg(word, ' ' ORDER BY i) AS words
+  FROM (SELECT m.k, unnest(w) AS word, unnest(range(len(w))) AS i FROM m) ANTI JOIN (SELECT k, unnest(gone) AS i FROM dropped) USING (k, i) GROUP BY k
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, -top.s AS start, top.n AS length, -top.q AS period, 1000 * top.n // -top.q AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(words, '')) AS collapsed_sha256
+FROM m LEFT JOIN o USING (k) LEFT JOIN kept USING (k)
+"""

@@ -116,3 +116,15 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, base: int = 0xD6E8FEB8665
         out[first:last] = range_hash(prefix, starts[first:last] - a, ends[first:last] - a, base)
         first = last
     return out, rows
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+    """64-bit hashes of disjoint spans in order, made from stretches of about PIECE bytes."""
+    out, first = np.empty(len(starts), np.uint64), 0
+    while first < len(out):
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + PIECE, side="right")))
+        a, b = starts[first], ends[last - 1]
+        prefix = prefix_hash(data[a:b], base)
+        out[first:last] = range_hash(prefix, starts[first:last] - a, ends[first:last] - a, base)
+        first = last
+    return out
