@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 64
-JOIN_SALTS = 16
+#: Rows of a join key that one task multiplies.
+JOIN_ROWS = 1000
 
 
 def top_k(
@@ -54,11 +55,13 @@ def spread_out(df: DataFrame, by: str) -> DataFrame:
 def spread_join(big: DataFrame, small: DataFrame, key: str, spread_by: str) -> DataFrame:
     """Inner join in which rows of ``big`` with one key are spread over many join keys.
 
-    For a ``small`` side whose every row multiplies with many of ``big``: its rows are repeated
-    once per salt, so the pairs of a key that most of ``big`` holds are made by many tasks.
+    For a ``small`` side whose every row multiplies with many of ``big``: a key is split into one part for each
+    ``JOIN_ROWS`` rows that ``big`` has of it, and rows of ``small`` are repeated once per part. Keys of few rows,
+    nearly all, are not repeated.
     """
-    salted = spread_out(big, spread_by).withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(JOIN_SALTS)).cast("int"))
-    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))))
+    parts = big.groupBy(key).agg(F.ceil(F.count("*") / JOIN_ROWS).cast("int").alias("_parts"))
+    salted = big.join(parts, key).withColumn("_salt", F.pmod(F.xxhash64(spread_by), "_parts").cast("int")).drop("_parts")
+    repeated = small.join(parts, key).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
     return salted.join(repeated, [key, "_salt"]).drop("_salt")
 
 

@@ -93,7 +93,7 @@ def brute_bm25(docs, terms, prefix=False):
 @pytest.mark.parametrize("threshold", ["1000", "3"])
 def test_three_level_retrieval_equals_brute_force(spark, monkeypatch, threshold):
     spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", threshold)
-    monkeypatch.setattr(index, "BLOCK", 5)
+    monkeypatch.setattr(index, "BLOCK_BITS", 2)
     rng = random.Random(3)
     vocabulary_words = ["alpha", "beta", "gamma", "delta", "alpine", "betray", "omega"]
     docs = {f"d{i:02}": rng.choices(vocabulary_words, k=rng.randint(1, 9)) for i in range(40)}
@@ -131,6 +131,61 @@ def test_a_prefix_of_every_document_and_a_search_of_most_users(spark):
     assert rows == {(3, 3000, 20): 360, (1, 60, 20): 40}
 
 
+@pytest.fixture(scope="module")
+def hot_terms(spark):
+    """Texts of two hot words, which stand together in one tenth of them and often in a few."""
+    return spark.range(4000).select(
+        F.concat(F.lit("d"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("id"),
+        F.concat_ws(
+            " ", F.when(F.col("id") % 400 < 8, F.repeat(F.lit("hot warm "), 1 + (F.col("id") % 3).cast("int"))),
+            F.when(F.col("id") % 10 > 0, F.lit("hot")), F.when(F.col("id") % 10 < 2, F.lit("warm")),
+            F.repeat(F.concat(F.lit("filler"), F.col("id") % 7, F.lit(" ")), 3 + (F.col("id") % 5).cast("int")),
+        ).alias("body"),
+    )
+
+
+def test_bounded_retrieval_equals_full_and_leaves_blocks_unread(spark, hot_terms, monkeypatch):
+    monkeypatch.setattr(index, "BLOCK_BITS", 4)
+    built = index.build_index(hot_terms, "id", "body")
+    searches = spark.createDataFrame([(1, ["hot", "warm"]), (2, ["warm", "absent"]), (3, ["hot"])], "search long, terms array<string>")
+    weighed = index.weighed_terms(searches, built).cache()
+    blocks = index.search_blocks(weighed, built).cache()
+    for whole in (True, False):
+        mine = blocks.filter("size(held) = n_terms") if whole else blocks
+        found = index.bounded_hits(mine, built, 10, whole)
+        full = ranking.top_k(index.block_hits(mine, built, whole), ["search"], [F.asc("bm25"), F.asc("doc")], 10, rank="hit_rank")
+        rows = lambda df: sorted(map(tuple, df.select("search", "hit_rank", "doc", "bm25").collect()))
+        assert rows(found.best) == rows(full)
+        read = sum(b.filter("search = 1").count() for b in found.read)
+        assert read < mine.filter("search = 1").count() / 3
+        counts = {r.search: r.hit_count for r in index._hit_counts(found, weighed, built, whole).collect()}
+        exact = {r.search: r["count"] for r in index.block_hits(mine, built, whole).groupBy("search").count().collect()}
+        assert counts == exact
+
+
+def test_added_segments_equal_a_fresh_index(spark, hot_terms, monkeypatch):
+    monkeypatch.setattr(index, "BLOCK_BITS", 4)
+    changed = hot_terms.filter("substr(id, 5, 2) in ('07', '40', '41')")
+    older = hot_terms.join(changed, "id", "left_anti").unionByName(changed.filter("id like '%07'").withColumn("body", F.lit("warm stale words")))
+    older = older.unionByName(spark.createDataFrame([("gone", "hot warm gone")], "id string, body string"))
+    first = index.build_index(older, "id", "body")
+    gone = spark.createDataFrame([("gone",)], "doc string")
+    named = changed.toDF("doc", "words")
+    second = index.add_segment(first, named.filter("doc like '%07'"), gone)
+    third = index.add_segment(second, named, gone)
+    fresh = index.build_index(hot_terms, "id", "body")
+    merged = index.merge_segments(third)
+    queries = spark.createDataFrame(
+        [("a", ["hot", "warm"]), ("b", ["stale", "filler3"]), ("c", ["gone"]), ("d", ["fill"]), ("e", ["hot"])], "query_id string, retrieval_tokens array<string>"
+    )
+    rows = lambda built: sorted(map(str, index.retrieve(queries, built, 25).collect()))
+    assert rows(third) == rows(fresh) == rows(merged)
+    for built in (third, merged):
+        assert built.stats.first() == fresh.stats.first()
+        assert sorted(built.terms.collect()) == sorted(fresh.terms.collect())
+        assert sorted(map(str, built.postings.collect())) == sorted(map(str, fresh.postings.collect()))
+
+
 def test_salted_top_k_is_exact(spark):
     rows = spark.range(5000).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("key"),
