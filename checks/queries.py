@@ -22,7 +22,7 @@ from quarry.plans import evaluate as evaluate_plan
 from quarry.plans import recommend as recommend_plan
 from quarry.plans import search as search_plan
 from quarry.session import materialize, scratch_folder
-from quarry.sources import files, store
+from quarry.sources import files, index_store, store
 from quarry.streaming import ingest as ingest_streaming
 from quarry.streaming import signals as signal_streaming
 
@@ -481,9 +481,17 @@ hits AS (SELECT item_id, doc_id, n_terms, count(*) AS n_found, round(-sum(
 levelled AS (SELECT *, CASE WHEN n_found = n_terms THEN 1 ELSE 2 END AS level,
     min(CASE WHEN n_found = n_terms THEN 1 ELSE 2 END) OVER (PARTITION BY item_id) AS best FROM hits),
 chosen AS (SELECT item_id, doc_id, bm25, level, count(*) OVER (PARTITION BY item_id) AS hit_count FROM levelled WHERE level = best)
+pre AS (SELECT term AS prefix, doc_id, any_value(doc_len) AS doc_len, sum(tf) AS tf, count(*) OVER (PARTITION BY q.term) AS df
+  FROM (SELECT DISTINCT term FROM qt WHERE item_id NOT IN (SELECT item_id FROM hits)) q JOIN (SELECT term AS word, doc_id, doc_len, tf FROM post) ON starts_with(word, q.term)
+  GROUP BY term, doc_id),
+last AS (SELECT item_id, doc_id, round(-sum(
+    CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END
+    * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doc_len / avg_len))), 9) AS bm25
+  FROM qt JOIN pre ON prefix = term CROSS JOIN stats GROUP BY ALL),
+every AS (FROM chosen UNION ALL SELECT item_id, doc_id, bm25, 3, count(*) OVER (PARTITION BY item_id) FROM last)
 SELECT item_id, doc_id, round(bm25, 6) AS bm25, level, hit_count,
        row_number() OVER (PARTITION BY item_id ORDER BY bm25, doc_id) AS hit_rank
-FROM chosen QUALIFY hit_rank <= 10"""
+FROM every QUALIFY hit_rank <= 10"""
 
 
 @shared
@@ -505,7 +513,7 @@ def corpus_search(spark, d):
     )
     keyed = asked.select("query_id", F.array_distinct("words").alias("terms"))
     searches = index.distinct_searches(keyed)
-    best = index.best_hits(searches, corpus_index(spark, d), 10)
+    best = index.best_hits(searches, corpus_index(spark, d), 10, prefixes=None)
     return keyed.join(searches, "terms").join(best, "search").select(
         F.col("query_id").alias("item_id"), F.col("doc").alias("doc_id"),
         F.round("bm25", 6).alias("bm25"), F.col("level").cast("int").alias("level"),
@@ -513,16 +521,36 @@ def corpus_search(spark, d):
     )
 
 
-@query("""SELECT query_id, ste_id, round(bm25, 6) AS bm25, level, hit_count, hit_rank FROM c_pool WHERE hit_rank <= 10""")
-def bm25_search(spark, d):
-    found = index.retrieve(understood(spark, d), search_tables(spark, d).index, 10)
-    return found.select(
+HITS_SQL = "SELECT query_id, ste_id, round(bm25, 6) AS bm25, level, hit_count, hit_rank FROM c_pool WHERE hit_rank <= 10"
+
+
+def best_products(spark, d, built):
+    return index.retrieve(understood(spark, d), built, 10).select(
         "query_id", F.col("doc").alias("ste_id"), F.round("bm25", 6).alias("bm25"),
         F.col("level").cast("int").alias("level"), "hit_count",
         F.col("hit_rank").cast("bigint").alias("hit_rank"),
     )
 
 
+@query(HITS_SQL)
+def bm25_search(spark, d):
+    return best_products(spark, d, search_tables(spark, d).index)
+
+
+@query(HITS_SQL)
+def incremental_index(spark, d):
+    """Searches in the stored index of a catalogue after a load that changed, brought and dropped products."""
+    new = search_tables(spark, d).products.select("ste_id", "search_text")
+    turn = F.crc32(F.col("ste_id").cast("binary")) % 40
+    stale = F.when(turn == 0, F.concat(F.lit("stale "), F.left("search_text", F.lit(20)))).otherwise(F.col("search_text"))
+    dropped = new.filter(turn == 1).withColumn("ste_id", F.concat(F.lit("x"), "ste_id"))
+    old = materialize(new.filter(turn != 2).withColumn("search_text", stale).unionByName(dropped), "older-products")
+    folder = f"{scratch_folder(spark)}/snapshots-{uuid.uuid4().hex}"
+    index_store.write_index(spark, f"{folder}/1", old, "ste_id", "search_text")
+    index_store.update_index(spark, f"{folder}/1", f"{folder}/2", old, new, "ste_id", "search_text")
+    return best_products(spark, d, index_store.load_index(spark, f"{folder}/2"))
+
+
 @query("SELECT DISTINCT query_id, level, hit_count FROM c_levelled")
 def hit_counts(spark, d):
     keyed = index.search_keys(understood(spark, d))
@@ -983,6 +1011,35 @@ def read_products(spark, d):
     return files.read_products(spark, f"{exported_files(spark, d)}/products")[0].drop(files.PLACE)
 
 
+@shared
+def quoted_files(spark, d):
+    """Products with inch marks, line breaks, separators and quotes in their cells, many to a file."""
+    folder = f"{scratch_folder(spark)}/quoted-{uuid.uuid4().hex}"
+    rows = A.raw_products(spark, d)
+    size = F.concat(F.lit('"'), F.replace("attributes_raw", F.lit(";"), F.lit(";\n")), F.lit('"'))
+    title = F.when(F.col("ste_id").cast("int") % 3 == 0, F.concat(F.lit('"A ""'), "title", F.lit('""\n\n;b"'))).otherwise(F.concat("title", F.lit(' 5"')))
+    rows.select(F.concat_ws(";", "ste_id", title, "category", size).alias("line")).coalesce(2).write.text(folder)
+    return folder
+
+
+QUOTED_SQL = """SELECT ste_id, CASE WHEN ste_id::INTEGER % 3 = 0 THEN 'A "' || title || '"' || chr(10) || chr(10) || ';b' ELSE title || ' 5"' END AS title,
+            category, replace(attributes_raw, ';', ';' || chr(10)) AS attributes_raw FROM c_raw_products"""
+
+
+@query(QUOTED_SQL)
+def read_quoted(spark, d):
+    return files.read_products(spark, quoted_files(spark, d))[0].drop(files.PLACE)
+
+
+@query("""SELECT ste_id, CASE WHEN ste_id::INTEGER % 3 = 0 THEN ';b' ELSE '5' END AS ending FROM c_raw_products""")
+def ingest_quoted(spark, d):
+    """The same files as they arrive in a stream."""
+    landing = f"{scratch_folder(spark)}/landing-{uuid.uuid4().hex}"
+    ingest_streaming.ingest_stream(spark, quoted_files(spark, d), "products", landing).trigger(availableNow=True).start().awaitTermination()
+    rows = ingest_streaming.current_rows(spark, landing, "products")
+    return rows.select("ste_id", F.when(F.col("title_raw").endswith(";b"), ";b").when(F.col("title_raw").contains(" 5"), "5").alias("ending"))
+
+
 @query("""SELECT purchase_name, contract_id, ste_id, strftime(contract_date, '%Y-%m-%d') AS contract_date, cost,
             customer_inn, customer_name, supplier_inn, supplier_region FROM c_lines""")
 def read_contracts(spark, d):

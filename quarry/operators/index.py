@@ -207,7 +207,7 @@ def distinct_searches(keyed: DataFrame) -> DataFrame:
 def weighed_terms(searches: DataFrame, index: Index) -> DataFrame:
     """(search, n_terms, term, df, idf) of the terms that the index knows."""
     placed = searches.select("search", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    known = placed.join(_together(s.terms for s in index.segments), "term")
+    known = _together(placed.join(s.terms, "term") for s in index.segments)
     if len(index.segments) > 1:
         known = known.groupBy("search", "n_terms", "term").agg(F.sum("df").alias("df")).filter("df > 0")
     n = index.stats.select("n").scalar()

@@ -13,6 +13,7 @@ from quarry.operators import (
 )
 from quarry.operators.scoring import Overlay
 from quarry.session import materialize
+from quarry.sources import index_store
 
 PRODUCT_COLUMNS = [
     "ste_id", "title_raw", "title_norm", "title_tokens", "category_raw", "category_norm",
@@ -159,11 +160,10 @@ def total_counts(ranked: DataFrame, filtered: bool = False, queries: DataFrame |
 
 
 def load_search_tables(spark: SparkSession, folder: str) -> SearchTables:
-    """Search tables of a written snapshot, with a fresh index of its search texts."""
-    products = spark.read.parquet(f"{folder}/products")
+    """Search tables of a written snapshot with its index; nothing is built."""
     return SearchTables(
-        products,
+        spark.read.parquet(f"{folder}/products"),
         spark.read.parquet(f"{folder}/dictionary"),
         spark.read.parquet(f"{folder}/synonym_rules"),
-        index.build_index(products, "ste_id", "search_text"),
+        index_store.load_index(spark, folder),
     )

@@ -7,14 +7,18 @@ products and the run log are append-only tables in folders of their own.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quarry.operators import catalog, profiles, scoring, signals, vocabulary
 from quarry.session import materialize
-from quarry.sources import files
+from quarry.sources import files, index_store
 
 MODES = {
     "replace_all": ("products", "contracts"),
@@ -167,15 +171,15 @@ def refresh(
         ),
         target, "showcase",
     )
-    build_vocabulary(spark, products, contracts, target)
+    build_vocabulary(spark, products, contracts, target, base)
     stats = write_table(load_stats(spark, target, run_at, MODES[mode]), target, "stats")
     return run_row(spark, mode, run_at, warnings, stats)
 
 
 def build_vocabulary(
-    spark: SparkSession, products: DataFrame, contracts: DataFrame, target: str
+    spark: SparkSession, products: DataFrame, contracts: DataFrame, target: str, base: str | None = None
 ) -> None:
-    """Dictionary, synonyms, search text and lexicon of a snapshot."""
+    """Dictionary, synonyms, search text, lexicon and index of a snapshot; the index goes on from that of ``base``."""
     seeds = vocabulary.seed_synonyms(spark)
     dictionary = write_table(
         vocabulary.term_dictionary(products, contracts, seeds), target, "dictionary"
@@ -189,6 +193,10 @@ def build_vocabulary(
     full = scoring.with_match_columns(vocabulary.with_search_text(products, rules))
     full = write_table(full, target, "products")
     write_table(vocabulary.lexicon(full), target, "lexicon")
+    if base:
+        index_store.update_index(spark, base, target, read_table(spark, base, "products"), full, "ste_id", "search_text")
+    else:
+        index_store.write_index(spark, target, full, "ste_id", "search_text")
 
 
 def load_stats(
@@ -255,6 +263,12 @@ def run_row(
     )
 
 
+RUN_SCHEMA = (
+    "run_id string, mode string, status string, started_at timestamp, finished_at timestamp, folder string, "
+    "error string, warnings array<string>, stats map<string,bigint>"
+)
+
+
 def append_run_log(run: DataFrame, folder: str) -> None:
     run.write.mode("append").parquet(f"{folder}/runs")
 
@@ -263,6 +277,47 @@ def recent_runs(spark: SparkSession, folder: str, n: int = 10) -> DataFrame:
     return read_table(spark, folder, "runs").orderBy(F.desc("finished_at"), "run_id").limit(n)
 
 
+def published(spark: SparkSession, root: str) -> str | None:
+    """Folder of the newest snapshot below ``root`` that a run has finished, by the run log alone."""
+    try:
+        runs = read_table(spark, root, "runs")
+    except AnalysisException:
+        return None
+    found = runs.filter("status = 'successful'").agg(F.max_by("folder", F.struct("finished_at", "run_id")).alias("folder")).first()
+    return found.folder
+
+
+def publish(
+    spark: SparkSession,
+    root: str,
+    mode: str,
+    run_at: datetime,
+    products_path: str | None = None,
+    contracts_path: str | None = None,
+    clock: Callable[[], datetime] = datetime.now,
+) -> DataFrame:
+    """Refresh into a new folder below ``root`` and enter the run into its log, as its last step.
+
+    Readers ask ``published`` for the newest finished snapshot, so they never see tables of a run that failed or is
+    under way. A failed run is entered with its error and raised; its folder is named nowhere else.
+    """
+    started, run_id = clock(), f"{mode}-{run_at:%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
+    target, previous = f"{root}/{run_id}", published(spark, root)
+    row = {"run_id": F.lit(run_id), "mode": F.lit(mode), "started_at": F.lit(started), "folder": F.lit(target)}
+    try:
+        done = refresh(spark, target, mode, run_at, previous, products_path, contracts_path)
+        done = done.withColumns(row | {"finished_at": F.lit(clock()), "error": F.lit(None).cast("string")})
+        logged = materialize(done.select(*[f.name for f in StructType.fromDDL(RUN_SCHEMA)]), "run")
+    except Exception as error:
+        failed = spark.createDataFrame(
+            [(run_id, mode, "failed", started, clock(), target, f"{type(error).__name__}: {error}"[:2000], [], {})], RUN_SCHEMA
+        )
+        append_run_log(failed, root)
+        raise
+    append_run_log(logged, root)
+    return logged
+
+
 def clear(spark: SparkSession, previous: str, target: str, names: list[str]) -> None:
     """A snapshot with the given tables empty."""
     for name in names:

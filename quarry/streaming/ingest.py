@@ -17,7 +17,7 @@ FIRST = {"products": [], "contracts": ["customer_inn"]}
 def ingest_stream(spark: SparkSession, folder: str, kind: str, landing: str) -> DataStreamWriter:
     """Writer that validates and standardises new files of a folder into ``landing``.
 
-    Files are read by lines, each by its own layout. Every batch has its own subfolders, so repeating a
+    Files are read by lines and put together to records, as by the batch reader. Every batch has its own subfolders, so repeating a
     batch after a failure replaces it.
     """
     lines = files.stream_lines(spark, folder)

@@ -8,28 +8,41 @@ from datetime import datetime
 import pytest
 from pyspark.sql import SparkSession
 
-PRODUCTS = (
-    "﻿310201;Флеш-накопитель SMARTBUY Quartz USB 3.1 серый 16 Гб;USB-накопители;"
-    '"Объем накопителя:16.00000;Цвет:серый;Интерфейс подключения:USB 3"\n'
-    "310202;Флеш-накопитель SMARTBUY Wild USB 2.0 белый 4 Гб;USB-накопители;"
-    '"Объем накопителя:4.00000;Цвет:белый;Интерфейс подключения:USB 2"\n'
-    "420115;Ибупрофен капс. 200 мг №20;Обезболивающие;"
-    '"Дозировка:200 мг;Лекарственная форма:капсулы"\n'
-    "530777;Ноутбук Lenovo ThinkPad T14 Gen4;Ноутбуки;"
-    '"Оперативная память:16 ГБ;Процессор:AMD Ryzen 7;Диагональ:14 дюйм"\n'
-    "640038;Рабочая тетрадь А5 96 листов;Канцелярия;"
-    '"Формат:А5;Количество листов:96;Тип:тетрадь"\n'
-)
-CONTRACTS = (
-    '"Флеш-накопитель SMARTBUY Quartz USB 3.1 серый 16 Гб";81051;310201;2025-02-14 11:20:00;'
-    "980.00;5001234501;Учреждение 1;Тула;4700555001;Торговый дом 1;Тула\n"
-    '"Ибупрофен капс. 200 мг №20";81052;420115;2025-03-05 09:45:00;415.00;5001234502;'
-    "Учреждение 2;Тула;4700555002;Торговый дом 2;Тула\n"
-    '"Ноутбук Lenovo ThinkPad T14 Gen4";81053;530777;2024-11-12 16:05:00;98700.00;5001234501;'
-    "Учреждение 1;Тула;4700555003;Торговый дом 3;Тула\n"
-    '"Неизвестный товар";81054;990990;2026-10-03 00:00:00;640.00;5001234503;Учреждение 3;Тула;'
-    "4700555004;Торговый дом 4;Тула\n"
-)
+def _product(key: str, title: str, category: str, **attributes: str) -> str:
+    listed = ";".join(f"{name.replace('_', ' ')}:{value}" for name, value in attributes.items())
+    return f'{key};{title};{category};"{listed}"\n'
+
+
+def _purchase(number: int, key: str, title: str, day: str, cost: int, buyer: str, town: str = "Омск") -> str:
+    return f"{title};D-{number};{key};{day} 08:00:00;{cost};{buyer};Покупатель {buyer};{town};77{number};Склад {number % 3};Пермь\n"
+
+
+TITLES = {
+    "K10": "Конфеты шоколадные Северянка 500 г", "T61": "Шина летняя Nordex Road 195 R15", "M27": "Монитор Dell P2723 27 дюйм",
+    "K12": "Конфеты желейные Радуга 250 г", "T58": "Шина зимняя Nordex Ice 205 R16", "W90": "Планшет Lenovo Tab M10",
+    "T63": "Шина всесезонная Kama 185 R14",
+}
+#: Seven goods: three tyres, two boxes of sweets, a screen, a tablet; one to four attributes each.
+PRODUCTS = "\ufeff" + "".join([
+    _product("K10", TITLES["K10"], "Сладости", Вес="500 г", Начинка="орех", Упаковка="коробка", Цвет="красный"),
+    _product("T61", TITLES["T61"], "Шины", Сезон="лето", Ширина="195 мм"),
+    _product("M27", TITLES["M27"], "Мониторы", Диагональ="27 дюйм", Матрица="IPS", Цвет="чёрный"),
+    _product("K12", TITLES["K12"], "Сладости", Вес="250 г"),
+    _product("T58", TITLES["T58"], "Шины", Сезон="зима", Ширина="205 мм"),
+    _product("W90", TITLES["W90"], "Планшеты", Экран="10 дюйм", Цвет="белый"),
+    _product("T63", TITLES["T63"], "Шины", Сезон="любой"),
+])
+#: 31 buys sweets again and again, 40 tyres and a screen, 52 only what is not in the catalogue, 67 on a day to come.
+CONTRACTS = "".join([
+    _purchase(901, "T58", TITLES["T58"], "2024-10-30", 7200, "40"),
+    _purchase(902, "K10", TITLES["K10"], "2025-05-20", 640, "31"),
+    _purchase(903, "Z00", "Снятый товар", "2025-01-09", 15, "52", "Тверь"),
+    _purchase(904, "K10", TITLES["K10"], "2025-03-02", 320, "31"),
+    _purchase(905, "M27", TITLES["M27"], "2025-04-11", 21500, "40"),
+    _purchase(906, "K12", TITLES["K12"], "2024-12-28", 180, "31"),
+    _purchase(907, "T63", TITLES["T63"], "2031-02-01", 5100, "67"),
+    _purchase(908, "T61", TITLES["T61"], "2025-04-12", 6900, "40"),
+])
 RUN_AT = datetime(2025, 6, 1)
 
 
