@@ -480,7 +480,7 @@ hits AS (SELECT item_id, doc_id, n_terms, count(*) AS n_found, round(-sum(
   FROM qt JOIN df USING (term) JOIN post USING (term) CROSS JOIN stats GROUP BY ALL),
 levelled AS (SELECT *, CASE WHEN n_found = n_terms THEN 1 ELSE 2 END AS level,
     min(CASE WHEN n_found = n_terms THEN 1 ELSE 2 END) OVER (PARTITION BY item_id) AS best FROM hits),
-chosen AS (SELECT item_id, doc_id, bm25, level, count(*) OVER (PARTITION BY item_id) AS hit_count FROM levelled WHERE level = best)
+chosen AS (SELECT item_id, doc_id, bm25, level, count(*) OVER (PARTITION BY item_id) AS hit_count FROM levelled WHERE level = best),
 pre AS (SELECT term AS prefix, doc_id, any_value(doc_len) AS doc_len, sum(tf) AS tf, count(*) OVER (PARTITION BY q.term) AS df
   FROM (SELECT DISTINCT term FROM qt WHERE item_id NOT IN (SELECT item_id FROM hits)) q JOIN (SELECT term AS word, doc_id, doc_len, tf FROM post) ON starts_with(word, q.term)
   GROUP BY term, doc_id),
