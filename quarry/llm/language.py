@@ -58,19 +58,20 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(seen), pa.string()), "gram": seen.astype(np.int32), "n": row[seen]})
 
 
-def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
+def train(labelled: DataFrame, most: int = MOST_LANGUAGES) -> tuple[list[str], np.ndarray]:
     """Languages in order, and log P(n-gram class | language), from (text, lang) with lang not null.
 
-    The table has a fixed bound: ``CLASSES`` numbers for each of at most ``MOST_LANGUAGES`` languages.
+    The table has a fixed bound: ``CLASSES`` numbers for each of the ``most`` languages with the most rows, ties by
+    name; rarer values of lang are not learned and never predicted.
     """
+    labelled = labelled.select(F.col("lang").cast("string").alias("lang"), "text").filter(F.col("lang").isNotNull())
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most)
+    names = sorted(r["lang"] for r in counts.collect())
     counted = (
-        labelled.select(F.col("lang").cast("string").alias("lang"), "text").filter(F.col("lang").isNotNull())
+        labelled.filter(F.col("lang").isin(names))
         .mapInArrow(_count, "lang string, gram int, n long")
         .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     )
-    names = sorted(r["lang"] for r in labelled.select(F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull()).distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     table = np.full((CLASSES, max(1, len(names))), ADDED)
     if names:
         found = counted.toArrow()
