@@ -11,13 +11,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.text import LOWER, fold, mixed, utf8
 
-#: The bounded sample of labelled rows that the classifier is fitted on: rows of each label, characters of a row at most.
-SAMPLE_ROWS, SAMPLE_CHARS = 3_000, 16_384
+#: The bounded sample of labelled rows that the classifier is fitted on: rows of each label, characters of a row
+#: at most, stretches that they are taken from if the row is longer.
+SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_PARTS = 3_000, 16_384, 16
 #: Bytes of a window and of a step; every window is followed by so many zero bytes, which always compress,
 #: so that no window is stored uncompressed and each matched byte counts.
 WINDOW, STEP, PADDING = 48, 32, b"\0" * 32
@@ -173,12 +174,21 @@ def _fit(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"toxic": [toxic], "ordinary": [ordinary], "weights": [weights.tolist()]})
 
 
+def _spread_out(text: str) -> Column:
+    """A text, or of a longer one SAMPLE_CHARS characters from stretches at even distances."""
+    size = SAMPLE_CHARS // SAMPLE_PARTS
+    gap = (F.length(text) - size) / (SAMPLE_PARTS - 1)
+    places = F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_PARTS - 1)), lambda k: F.substr(F.col(text), F.floor(k * gap).cast("int") + 1, F.lit(size)))
+    return F.when(F.length(text) <= SAMPLE_CHARS, F.col(text)).otherwise(F.array_join(places, " "))
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits dictionaries and thresholds on texts of ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic 0 or 1).
 
-    The sample is bounded: of each label the ``SAMPLE_ROWS`` rows with the smallest hashes of their id,
-    less those whose text is missing or longer than ``SAMPLE_CHARS``. The sample's ids are broadcast, so
-    no text is shuffled but the sample's. Without rows, nothing is toxic.
+    The sample is bounded: of each label the ``SAMPLE_ROWS`` ids with the smallest hashes, of several texts
+    under one id that of the smallest hash, of a text longer than ``SAMPLE_CHARS`` as many characters in
+    ``SAMPLE_PARTS`` stretches spread over all of it. Missing texts give nothing. The sample's ids are
+    broadcast, so no text is shuffled but the sample's. Without rows, nothing is toxic.
     """
     known = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").select(
         "doc_id", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id").alias("deal")
@@ -188,8 +198,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     sample = parts[0].unionByName(parts[1]).withColumn(
         "share", F.when(F.col("toxic") == 1, float(totals.get(1, 0))).otherwise(float(totals.get(0, 0)))
     )
-    texts = docs.select("doc_id", "text").filter(F.length("text") <= SAMPLE_CHARS)
-    rows = texts.join(F.broadcast(sample), "doc_id").withColumn("fit", F.col("toxic") >= 0)
+    texts = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(sample), "doc_id")
+    drawn = texts.select("doc_id", "toxic", "share", "deal", F.xxhash64("text").alias("by_text"), _spread_out("text").alias("text"))
+    rows = drawn.groupBy("doc_id", "toxic", "share", "deal").agg(F.min_by("text", "by_text").alias("text")).withColumn("fit", F.col("toxic") >= 0)
     found = rows.groupBy("fit").applyInPandas(_fit, "toxic binary, ordinary binary, weights array<double>").first()
     if found is None:
         return Model(PADDING, PADDING, (0.0, 0.0, 0.0, -10.0))
