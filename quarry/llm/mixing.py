@@ -98,21 +98,21 @@ def mix(
     Takes (doc_id, text, source); returns doc_id, key, size, source_size, target, copies, taken, where
     ``key`` is a hash of doc_id and text. A
     document's expected copies are target / source_size. The whole part is given to all; the
-    fractions are rounded by pairs inside buckets of about ``BUCKET_ROWS`` rows dealt by id, each
+    fractions are rounded by pairs inside buckets of about ``BUCKET_ROWS`` rows dealt by id and text, each
     bucket leaves at most one fraction per source, and a reduction tree joins ``FAN_IN`` buckets at a
     time until one is left, which goes to the nearer end. A source's words differ from its target by
     at most half of that one document. No random state depends on time or partitioning.
 
-    Null or empty texts and null sources are rows as any other (size 0: nothing taken). Equal rows are
-    rounded separately. An empty table gives an empty result. Other columns are not read.
+    Null or empty texts, null ids and null sources are rows as any other (size 0: nothing taken). Equal rows are
+    rounded separately; so are different texts under one id. An empty table gives an empty result. Other columns are not read.
     """
-    sized = materialize(
-        docs.select(
-            "doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"),
-            F.xxhash64(F.col("doc_id"), F.lit(seed)).alias("deal"), F.xxhash64("doc_id", "text").alias("key"),
-        ),
-        "mix-sizes",
+    typed = docs.select(
+        "doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("key"),
     )
+    # Equal rows are counted, and numbered where they are dealt out again, so that many of them share no bucket.
+    folded = typed.groupBy(*typed.columns).agg(F.count("*").alias("n"))
+    numbered = folded.withColumn("number", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("n")
+    sized = materialize(numbered.withColumn("deal", F.xxhash64("key", "number", F.lit(seed))).drop("number"), "mix-sizes")
     targets = source_targets(sized, weights, share, most)
     wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(F.col("wanted") + _NEARLY)
@@ -146,9 +146,11 @@ def mix(
 
 
 def repeat(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """``docs`` with each row as often as ``mix`` says; equal rows take their copies together."""
-    copies = mixed.groupBy("key").agg(F.sum("copies").alias("mix_copies")).filter("mix_copies > 0").withColumnRenamed("key", "mix_key")
-    keyed = docs.withColumn("mix_key", F.xxhash64("doc_id", "text")).join(copies, "mix_key")
-    one = F.row_number().over(Window.partitionBy("mix_key").orderBy("mix_key"))
-    once = keyed.withColumn("mix_row", one).filter("mix_row = 1")
-    return once.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*docs.columns)
+    """``docs`` with each row as often as ``mix`` says; rows of equal id and text take their copies together.
+
+    Of rows that differ in other columns only, that of the smallest hash stands for all. All columns are kept.
+    """
+    copies = mixed.groupBy("key").agg(F.sum("copies").alias("copies")).filter("copies > 0")
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.struct("*").alias("row"))
+    once = rows.groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row")).join(copies, "key")
+    return once.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
