@@ -688,9 +688,20 @@ def search_personalised(spark, d):
     )
 
 
-@query("SELECT query_id, max(hit_count) AS total_count FROM c_ranked_base GROUP BY query_id")
+@query("""SELECT query_id, coalesce(max(hit_count), 0) AS total_count FROM (
+            SELECT query_id FROM c_queries UNION ALL SELECT 'unasked ' || r_name FROM region) LEFT JOIN c_ranked_base USING (query_id) GROUP BY query_id""")
 def total_counts(spark, d):
-    return search_plan.total_counts(ranked_baseline(spark, d))
+    """Also for queries without results, which count 0."""
+    unasked = A.table(spark, d, "region").select(F.concat(F.lit("unasked "), "r_name").alias("query_id"))
+    asked = query_log(spark, d).select("query_id").unionByName(unasked)
+    return search_plan.total_counts(ranked_baseline(spark, d), queries=asked)
+
+
+@query("""SELECT doc_id AS query_id, CASE WHEN coalesce(length(text), 0) = 0 THEN 'empty query' ELSE 'more than 1000 characters' END AS reason
+          FROM documents WHERE coalesce(length(text), 0) = 0 OR length(text) > 1000""")
+def refused_queries(spark, d):
+    """Documents asked as queries, most of which are too long."""
+    return search_plan.refused_queries(A.table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query")))
 
 
 FILTERED_SQL = """
@@ -944,13 +955,40 @@ def personalised_metrics(spark, d):
     return log_metrics(ranked_personal(spark, d), spark, d)
 
 
-@query()
+@query(" UNION ALL ".join(
+    f"SELECT '{mode}' AS mode, m.*, cases >= 10 AS is_reliable FROM ({METRICS_SQL.format(ranked=ranked)}) m"
+    for mode, ranked in (("baseline", "c_ranked_base"), ("personalized", "c_ranked_personal"))))
 def compare_rankers(spark, d):
-    tables = profile_tables(spark, d)
-    shown = profiles.showcase_profiles(tables["profiles"], tables["category_weights"])
-    purchases = catalog.matched_purchases(listed_contracts(spark, d).filter("matched_product"), products(spark, d))
-    cases = materialize(evaluation.eval_cases(purchases, shown), "eval-cases")
-    return evaluate_plan.compare_rankers(cases, search_tables(spark, d), overlay(spark, d))
+    """Both modes over the whole query log, from the queries' understanding to the metrics."""
+    found = evaluate_plan.compare_rankers(query_log(spark, d), search_tables(spark, d), overlay(spark, d))
+    return found.select("mode", "cases", "ndcg10", "mrr10", "recall20", "success5", "is_reliable")
+
+
+@query(f"""SELECT b.metric, baseline, personalised, round(personalised - baseline, 4) AS delta
+           FROM (UNPIVOT (SELECT * EXCLUDE (cases) FROM ({METRICS_SQL.format(ranked="c_ranked_base")})) ON * INTO NAME metric VALUE baseline) b
+           JOIN (UNPIVOT (SELECT * EXCLUDE (cases) FROM ({METRICS_SQL.format(ranked="c_ranked_personal")})) ON * INTO NAME metric VALUE personalised) p USING (metric)""")
+def metric_deltas(spark, d):
+    cases = query_log(spark, d)
+    rows = [evaluation.ranking_metrics(ranking.page(ranked, 20), cases) for ranked in (ranked_baseline(spark, d), ranked_personal(spark, d))]
+    return evaluation.metric_deltas(*rows)
+
+
+#: Weights of the score, lexical part, phrase, title, category, attribute and number matches; the others are 0.
+BLEND = {0: 0.3, 1: 0.2, 2: 0.5, 3: 0.25, 6: 0.125, 7: -0.25, 8: 0.75}
+
+
+@query(f"""SELECT query_id, ste_id, blended AS score, rank FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY blended DESC, title_raw, ste_id) AS rank FROM (
+              SELECT query_id, ste_id, title_raw, round(0.6::DOUBLE * score + 0.4::DOUBLE * ({BLEND[0]}::DOUBLE * total + {BLEND[1]}::DOUBLE / (1 + abs(bm25)) + {BLEND[2]}::DOUBLE * phrase
+                + {BLEND[3]}::DOUBLE * title_hits + {BLEND[6]}::DOUBLE * category + {BLEND[7]}::DOUBLE * attr_hits + {BLEND[8]}::DOUBLE * number_hits), 6) AS blended
+              FROM c_ranked_personal WHERE rank <= 24) WHERE blended > 0) WHERE rank <= 20""")
+def blended_rerank(spark, d):
+    """The first results in the order of a learned score of fixed weights, blended with their own."""
+    page = ranking.page(ranked_personal(spark, d), 24)
+    featured = search_plan.rescore(page, understood(spark, d), search_tables(spark, d), overlay(spark, d))
+    blended = evaluation.apply_ranker(featured, [BLEND.get(i, 0.0) for i in range(15)])
+    ranked = ranking.rank_results(blended.select("query_id", "ste_id", "title_raw", "score"))
+    return ranking.page(ranked, 20).select("query_id", "ste_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("""SELECT contract_key || '#' || customer_inn AS query_id, customer_inn, purchase_name_raw AS query, ste_id AS expected

@@ -394,9 +394,10 @@ def count_hits(best: DataFrame) -> DataFrame:
 
 
 def retrieve(understood: DataFrame, index: Index, pool: int, counts: bool = True) -> DataFrame:
-    """Candidates of every query: (query_id, doc, bm25, level, hit_rank), with ``counts`` also hit_count."""
+    """Candidates of every query: (query_id[, customer_inn], doc, bm25, level, hit_rank), with ``counts`` also hit_count."""
     keyed = search_keys(understood)
     searches = distinct_searches(keyed)
-    asked = keyed.select("query_id", "terms").join(searches, "terms").select("query_id", "search")
+    who = [c for c in ("customer_inn",) if c in keyed.columns]
+    asked = keyed.select("query_id", *who, "terms").join(searches, "terms").drop("terms")
     # One search may be asked by most users, so its queries are spread over many join keys.
     return spread_join(asked, best_hits(searches, index, pool, counts=counts), "search", "query_id").drop("search")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -22,20 +23,51 @@ class Overlay:
     session_categories: DataFrame | None = None
 
 
-def _add_weight(df: DataFrame, table: DataFrame | None, keys: list[str], name: str) -> DataFrame:
-    if table is None or any(k not in df.columns for k in keys):
-        return df.withColumn(name, F.lit(0.0))
-    return df.join(table.select(*keys, F.col("weight").alias(name)), keys, "left").withColumn(
-        name, F.coalesce(name, F.lit(0.0))
-    )
+def _left_join(df: DataFrame, table: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """Left join in which rows without a key stay where they are, instead of meeting in one task."""
+    known = functools.reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
+    without = df.filter(~known).select("*", *[F.lit(None).cast(table.schema[n].dataType).alias(n) for n in names])
+    return df.filter(known).join(table, keys, "left").unionByName(without)
+
+
+def _as_map(table: DataFrame, owner: str, key: str, name: str) -> DataFrame:
+    """(owner, name): an owner's weights as one map. Its keys are categories, or products of one session's last events."""
+    entries = F.collect_list(F.struct(key, "weight"))
+    return table.groupBy(owner).agg(F.map_from_entries(entries).alias(name))
+
+
+MAPS = {
+    "category_weights": ("customer_inn", "category_norm", "of_category"),
+    "session_products": ("session_id", "ste_id", "of_session_product"),
+    "session_categories": ("session_id", "category_norm", "of_session_category"),
+}
 
 
-def personalise(candidates: DataFrame, overlay: Overlay) -> DataFrame:
-    """Candidates with the weights of their customer and session, 0 where there are none."""
-    df = _add_weight(candidates, overlay.product_weights, ["customer_inn", "ste_id"], "w_product")
-    df = _add_weight(df, overlay.category_weights, ["customer_inn", "category_norm"], "w_category")
-    df = _add_weight(df, overlay.session_products, ["session_id", "ste_id"], "s_product")
-    return _add_weight(df, overlay.session_categories, ["session_id", "category_norm"], "s_category")
+def with_weight_maps(queries: DataFrame, overlay: Overlay) -> DataFrame:
+    """Queries with what their customer and session weigh, as maps: narrow tables meet here, not candidates."""
+    for part, (owner, key, name) in MAPS.items():
+        table = getattr(overlay, part)
+        if table is not None and owner in queries.columns:
+            queries = _left_join(queries, _as_map(table, owner, key, name), [owner], [name])
+    return queries
+
+
+def with_product_weights(candidates: DataFrame, overlay: Overlay) -> DataFrame:
+    """Narrow candidates (…, customer_inn, ste_id) with ``w_product``, 0 where the customer has not bought the product."""
+    if overlay.product_weights is None or "customer_inn" not in candidates.columns:
+        return candidates.withColumn("w_product", F.lit(0.0))
+    weights_ = overlay.product_weights.select("customer_inn", "ste_id", F.col("weight").alias("w_product"))
+    return _left_join(candidates, weights_, ["customer_inn", "ste_id"], ["w_product"]).fillna(0.0, ["w_product"])
+
+
+def personalise(candidates: DataFrame) -> DataFrame:
+    """Candidates of ``with_weight_maps``' queries with the weights of their category and session, 0 where there are none."""
+    columns = {"w_category": ("of_category", "category_norm"), "s_product": ("of_session_product", "ste_id"), "s_category": ("of_session_category", "category_norm")}
+    found = {
+        name: F.coalesce(F.try_element_at(F.col(held), F.col(key)), F.lit(0.0)) if held in candidates.columns else F.lit(0.0)
+        for name, (held, key) in columns.items()
+    }
+    return candidates.withColumns(found).drop(*[held for held, _ in columns.values()])
 
 
 def with_profile_tokens(queries: DataFrame, overlay: Overlay) -> DataFrame:
@@ -53,11 +85,8 @@ def with_profile_tokens(queries: DataFrame, overlay: Overlay) -> DataFrame:
         ),
         lambda item: item["weight"] > 0,
     )
-    return (
-        queries.join(known, "customer_inn", "left")
-        .withColumn("profile_tokens", F.when(F.col("known").isNotNull(), weighed))
-        .drop("known")
-    )
+    found = _left_join(queries, known, ["customer_inn"], ["known"])
+    return found.withColumn("profile_tokens", F.when(F.col("known").isNotNull(), weighed)).drop("known")
 
 
 def with_match_columns(products: DataFrame) -> DataFrame:

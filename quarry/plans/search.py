@@ -47,6 +47,7 @@ def build_search_tables(
     return SearchTables(full, dictionary, rules, index.build_index(full, "ste_id", "search_text"))
 
 
+MOST_CHARACTERS = 1000
 QUERY_COLUMNS = [
     "query_id", "customer_inn", "session_id", "corrected_query", "corrected_tokens",
     "retrieval_tokens", "numeric_tokens", "synonym_mappings", "lemma_mappings", "profile_tokens",
@@ -63,18 +64,29 @@ def score(
 ) -> DataFrame:
     """Candidates (query_id, ste_id, bm25, …) with everything that makes up their score.
 
-    Without an overlay it is the baseline score. Rows are wide: select what is needed.
+    Without an overlay it is the baseline score. Candidates are shuffled at most three times: as ids and a match to the
+    customer's product weights and to their query, then with what the query holds to their product.
+    Rows are wide only after the last join: select what is needed.
     """
     overlay = overlay or Overlay()
-    asked = scoring.with_profile_tokens(understood, overlay)
-    asked = asked.select([c for c in QUERY_COLUMNS if c in asked.columns])
-    joined = candidates.join(asked, "query_id").join(
-        tables.products.select(PRODUCT_COLUMNS), "ste_id"
-    )
-    scored = scoring.score_candidates(scoring.personalise(joined, overlay), lexical_mode)
+    if "customer_inn" in understood.columns and "customer_inn" not in candidates.columns:
+        candidates = candidates.join(understood.select("query_id", "customer_inn"), "query_id")
+    weighed = scoring.with_product_weights(candidates, overlay).drop("customer_inn")
+    asked = scoring.with_weight_maps(scoring.with_profile_tokens(understood, overlay), overlay)
+    asked = asked.select([c for c in QUERY_COLUMNS + [m[2] for m in scoring.MAPS.values()] if c in asked.columns])
+    joined = weighed.join(asked, "query_id").join(tables.products.select(PRODUCT_COLUMNS), "ste_id")
+    scored = scoring.score_candidates(scoring.personalise(joined), lexical_mode)
     return scored.withColumn("features", scoring.ranking_features())
 
 
+def refused_queries(queries: DataFrame) -> DataFrame:
+    """(query_id, reason) of the queries that ``search`` does not answer: missing, empty or too long."""
+    reason = F.when(F.coalesce(F.length("query"), F.lit(0)) == 0, "empty query").when(
+        F.length("query") > MOST_CHARACTERS, F.lit(f"more than {MOST_CHARACTERS} characters")
+    )
+    return queries.select("query_id", reason.alias("reason")).filter("reason IS NOT NULL")
+
+
 def search(
     queries: DataFrame,
     tables: SearchTables,
@@ -90,7 +102,7 @@ def search(
 
     ``ranking.page`` cuts a page out of them, ``facets.facets`` counts over them.
     """
-    valid = queries.filter(F.length("query").between(1, 1000))
+    valid = queries.filter(F.length("query").between(1, MOST_CHARACTERS))
     understood = understanding.understand_queries(
         valid, tables.dictionary, tables.rules, known_words
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import constants as K
 from quarry.operators import catalog, evaluation, feed, index, query_facets, ranking, spelling, vocabulary
+from quarry.sources import index_store
 
 
 def osa(a: str, b: str) -> int:
@@ -186,6 +187,42 @@ def test_added_segments_equal_a_fresh_index(spark, hot_terms, monkeypatch):
         assert sorted(map(str, built.postings.collect())) == sorted(map(str, fresh.postings.collect()))
 
 
+def below_joins(plan: str) -> list[tuple[str, list[str]]]:
+    """Each scan of a plan's text with the operators between it and the nearest join above."""
+    path, found = [], []
+    for line in plan.splitlines():
+        name = line.lstrip(" :+-*()0123456789")
+        depth = len(line) - len(line.lstrip(" :+-"))
+        path = [(d, n) for d, n in path if d < depth] + [(depth, name)]
+        if "FileScan" in name:
+            above = [n for _, n in path[:-1]]
+            last = max((i for i, n in enumerate(above) if "Join" in n), default=-1)
+            found.append((name, above[last + 1 :]))
+    return found
+
+
+def test_stored_index_is_joined_without_moving_it(spark, hot_terms, tmp_path):
+    index_store.write_index(spark, f"{tmp_path}/1", hot_terms, "id", "body")
+    newer = hot_terms.filter("id <> 'd00007'").withColumn("body", F.when(F.col("id").endswith("9"), F.lit("hot news")).otherwise(F.col("body")))
+    index_store.update_index(spark, f"{tmp_path}/1", f"{tmp_path}/2", hot_terms, newer, "id", "body")
+    loaded = index_store.load_index(spark, f"{tmp_path}/2")
+    fresh = index.build_index(newer, "id", "body")
+    queries = spark.createDataFrame([("a", ["hot", "news"]), ("b", ["warm"]), ("c", ["fil"])], "query_id string, retrieval_tokens array<string>")
+    rows = lambda built: sorted(map(str, index.retrieve(queries, built, 30).collect()))
+    assert rows(loaded) == rows(fresh)
+    searches = spark.createDataFrame([(1, ["hot", "news"])], "search long, terms array<string>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        weighed = index.weighed_terms(searches, loaded)
+        blocks = index.search_blocks(weighed, loaded)
+        chosen = spark.createDataFrame(blocks.collect(), blocks.schema)
+        for df, stored in ((weighed, 2), (blocks, 4), (index.block_hits(chosen, loaded, False), 2)):
+            scans = [above for name, above in below_joins(df._jdf.queryExecution().executedPlan().toString()) if "Bucketed: true" in name]
+            assert len(scans) >= stored and not [op for above in scans for op in above if op.startswith("Exchange")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_salted_top_k_is_exact(spark):
     rows = spark.range(5000).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("key"),
