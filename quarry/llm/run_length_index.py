@@ -108,7 +108,6 @@ class RunLengthIndex:
         rows = np.flatnonzero(tail[:-1])
         self.tails = (order[rows], self._shared(hashed, order[rows], order[rows + 1]))
         self.first, self.last = order[0], order[-1]
-        self.hashed = hashed
 
     def _order(self, data: np.ndarray, longest: int) -> np.ndarray:
         n = len(data)
@@ -177,25 +176,51 @@ def _runs(key: np.ndarray, start: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"key": key[first], "start": start[first], "end": start[last] + LENGTH})
 
 
+def _listed(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number in the row) of each window."""
+    of = np.repeat(np.arange(len(windows)), windows)
+    return of, np.arange(len(of)) - (np.cumsum(windows) - windows)[of]
+
+
+def _again(values: np.ndarray, of: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, last) of the windows in each row whose value occurs more than once; rows without are left out."""
+    order = np.argsort(values)
+    same = values[order][1:] == values[order][:-1]
+    hits = np.sort(order[np.append(same, False) | np.append(False, same)]) if len(values) else order
+    row, first = np.unique(of[hits], return_index=True)
+    last = np.append(first[1:], len(hits)) - 1 if len(row) else first
+    return row, offset[hits[first]], offset[hits[last]]
+
+
+def _repeated(texts: list[bytes], key: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, start) of the windows that occur again in an index of the texts, by key and start."""
+    if not texts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    index = RunLengthIndex(texts)
+    of, offset = _listed(np.diff(index.starts) - LENGTH + 1)
+    hit = index.matching_statistics()[index.starts[:-1][of] + offset] >= LENGTH
+    return key[of[hit]], (start[of] + offset)[hit]
+
+
 def _marked(shards: int):
     def marked(frame: pd.DataFrame) -> pd.DataFrame:
         """Spans of repeated windows in the bucket's segments. Of split anchors also a hash of each different
         window, packed in a row for each of ``shards`` shards of hashes."""
         frame = frame.sort_values(["anchor", "key", "start"], kind="stable")
-        index = RunLengthIndex(list(frame["bytes"]))
-        long = index.matching_statistics() >= LENGTH
-        windows, key, start = (frame[c].to_numpy() for c in ("windows", "key", "start"))
-        before = np.cumsum(windows) - windows
-        of = np.repeat(np.arange(len(frame)), windows)
-        offset = np.arange(len(of)) - before[of]
-        in_text, place, owner = index.starts[:-1][of] + offset, start[of] + offset, key[of]
-        hit = long[in_text]
+        texts, (windows, key, start) = list(frame["bytes"]), (frame[c].to_numpy() for c in ("windows", "key", "start"))
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        begins = np.cumsum([0, *map(len, texts)])[:-1]
+        of, offset = _listed(windows)
+        in_text, place, owner = begins[of] + offset, start[of] + offset, key[of]
+        values = range_hash(prefix_hash(data, _TEXT_BASE), in_text, in_text + LENGTH, _TEXT_BASE)
+        # Only stretches that begin and end with a window of which the hash occurs again go to the index.
+        row, low, high = _again(values, of, offset)
+        spans = _runs(*_repeated([texts[r][x : y + LENGTH] for r, x, y in zip(row.tolist(), low.tolist(), high.tolist(), strict=True)], key[row], start[row] + low))
         # Spans have the shard -1, so that no integer column holds a null, which pandas would round.
-        spans = _runs(owner[hit], place[hit]).assign(shard=-1, windows=b"", keys=b"", places=b"")
+        spans = spans.assign(shard=-1, windows=b"", keys=b"", places=b"")
         split = np.flatnonzero(frame["split"].to_numpy(bool)[of])
         if len(split):
-            value = range_hash(index.hashed, in_text[split], in_text[split] + LENGTH, _TEXT_BASE)
-            value, first = np.unique(value, return_index=True)
+            value, first = np.unique(values[split], return_index=True)
             shard = (value % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             cuts = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -266,8 +291,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     by_row = opened.groupBy("key").agg(F.collect_list(F.struct(
         "anchor", split.alias("split"), F.pmod(dealt, F.lit(buckets)).alias("bucket"), "start", "windows",
     )).alias("open"))
-    texts = docs.select(row_key().alias("key"), "text")
-    cut = texts.join(by_row, "key").mapInArrow(_cut, "anchor long, split boolean, bucket long, start long, windows int, key long, bytes binary")
+    # Equal rows are one row here: each segment goes to its index once, however many copies its text has.
+    texts = docs.select(row_key().alias("key"), "text").join(by_row, "key").dropDuplicates(["key"])
+    cut = texts.mapInArrow(_cut, "anchor long, split boolean, bucket long, start long, windows int, key long, bytes binary")
     marked = materialize(
         cut.groupBy("bucket").applyInPandas(
             _marked(shards), "key long, start long, end long, shard long, windows binary, keys binary, places binary"
