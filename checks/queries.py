@@ -5,8 +5,9 @@ from __future__ import annotations
 import functools
 import uuid
 from collections.abc import Callable
+from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from checks import adapter as A
@@ -681,6 +682,15 @@ def search_scored(spark, d):
     )
 
 
+@query("""SELECT r.token, CASE WHEN t.in_dictionary OR t.protected OR l.token IS NOT NULL OR length(r.token) % 2 = 1 THEN r.resolved ELSE r.token END AS resolved
+          FROM c_resolved r JOIN c_token_types t ON t.token = r.token LEFT JOIN c_layout l ON l.token = r.token""")
+def known_words(spark, d):
+    """All tokens of the log, when those of even length that the dictionary lacks are listed as right."""
+    tokens = query_tokens(spark, d).distinct()
+    listed = unknown_tokens(spark, d).filter(F.length("token") % 2 == 0).select(F.col("token").alias("word"))
+    return understanding.resolve_tokens(tokens, search_tables(spark, d).dictionary, listed).select("token", "resolved")
+
+
 @query("""SELECT query_id, ste_id, score, rank FROM c_ranked_personal WHERE rank <= 20""")
 def search_personalised(spark, d):
     return ranking.page(ranked_personal(spark, d), 20).select(
@@ -1044,6 +1054,39 @@ def exported_files(spark, d):
     return folder
 
 
+@shared
+def published_root(spark, d):
+    """Two published runs: all contracts with most products, then the other products."""
+    folder = exported_files(spark, d)
+    rows = A.raw_products(spark, d).select(files.PRODUCT_COLUMNS)
+    late = F.col("ste_id").cast("int") % 7 == 0
+    for name, some in (("early", rows.filter(~late)), ("late", rows.filter(late))):
+        some.write.mode("overwrite").option("sep", ";").option("escape", '"').csv(f"{folder}/{name}")
+    root = f"{scratch_folder(spark)}/published-{uuid.uuid4().hex}"
+    store.publish(spark, root, "replace_all", A.AS_OF, f"{folder}/early", f"{folder}/contracts")
+    store.publish(spark, root, "upsert_ste", A.AS_OF + timedelta(days=1), f"{folder}/late")
+    return root
+
+
+@query("SELECT ste_id, title_raw, category_norm FROM c_products")
+def refresh_snapshot(spark, d):
+    """Products of the newest published snapshot, which two loads have made."""
+    newest = store.published(spark, published_root(spark, d))
+    return store.read_table(spark, newest, "products").select("ste_id", "title_raw", "category_norm")
+
+
+@query("""SELECT 1 AS run, 'replace_all' AS mode, 'successful' AS status, count(*) FILTER (p_partkey % 7 <> 0) AS products,
+            (SELECT count(*) FROM c_contracts) AS contracts FROM part
+          UNION ALL SELECT 2, 'upsert_ste', 'successful', count(*) FILTER (p_partkey % 7 = 0), 0 FROM part""")
+def recent_runs(spark, d):
+    """The run log of these loads, oldest first."""
+    runs = store.recent_runs(spark, published_root(spark, d))
+    return runs.select(
+        F.row_number().over(Window.orderBy("finished_at")).alias("run"), "mode", "status",
+        F.col("stats.products_upserted").alias("products"), F.col("stats.contracts_upserted").alias("contracts"),
+    )
+
+
 @query("SELECT ste_id, title, category, attributes_raw FROM c_raw_products")
 def read_products(spark, d):
     return files.read_products(spark, f"{exported_files(spark, d)}/products")[0].drop(files.PLACE)
@@ -1173,15 +1216,37 @@ def ingest_stream(spark, d):
     )
 
 
+def named_goods(spark, d):
+    return products(spark, d).select(
+        F.col("brand_guess").alias("manufacturer"), F.col("model_guess").alias("model"),
+        F.col("category_raw").alias("category_name"),
+    )
+
+
+def plain_sql(x: str) -> str:
+    return f"replace(lower(trim(regexp_replace({x}, '\\s+', ' ', 'g'))), 'ё', 'е')"
+
+
+@query(f"""SELECT plain, kind, count(*) AS n, CASE WHEN kind = 'category' THEN min(value) ELSE max(struct_pack(n := length(value), v := value)).v END AS value
+  FROM (SELECT DISTINCT {plain_sql('title_raw')} AS plain FROM c_products)
+  JOIN (SELECT DISTINCT kind, value, {plain_sql('value')} AS phrase FROM (
+          SELECT 'brand' AS kind, brand_guess AS value FROM c_products UNION ALL SELECT 'model', model_guess FROM c_products
+          UNION ALL SELECT 'category', category_raw FROM c_products) WHERE trim(coalesce(value, '')) <> '') ON contains(plain, phrase)
+  GROUP BY plain, kind""")
+def phrase_matches(spark, d):
+    """Brands, models and categories in every product title: how many of a kind, and the one that counts."""
+    titles = products(spark, d).select(query_facets.plain(F.col("title_raw")).alias("plain"))
+    phrases = query_facets.catalog_phrases(named_goods(spark, d))
+    counted = query_facets.phrase_matches(titles, phrases).groupBy("plain", "kind").agg(F.count("*").alias("n"))
+    return query_facets.contained_phrases(titles, phrases).join(counted, ["plain", "kind"]).select("plain", "kind", "n", "value")
+
+
 @query()
 def extract_query_facets(spark, d):
     """Facets of every product title against the brands, models and categories of the catalogue."""
     whole = products(spark, d)
     asked = whole.select(F.col("ste_id").alias("query_id"), F.col("title_raw").alias("query"))
-    phrases = whole.select(
-        F.col("brand_guess").alias("manufacturer"), F.col("model_guess").alias("model"),
-        F.col("category_raw").alias("category_name"),
-    )
+    phrases = named_goods(spark, d)
     found = query_facets.extract_query_facets(asked, phrases)
     return found.select(
         "query_id", "detected_category", "detected_brand", "detected_model", "free_text",

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import constants as K
+from quarry.session import materialize
+
+#: Characters of a phrase's beginning that it is looked up by.
+HEAD = 3
 
 # Patterns of the rules.
 WORD = "([a-zа-я0-9]+(?:[.,][0-9]+)?)"
@@ -57,39 +61,51 @@ def catalog_phrases(catalog: DataFrame) -> DataFrame:
     return long.distinct().withColumn("phrase", plain(F.col("value"))).filter("phrase != ''")
 
 
-def contained_phrases(queries: DataFrame, phrases: DataFrame) -> DataFrame:
-    """Longest phrase of each kind that occurs in a query: (needle, kind, value).
+def _heads(value: Column, at: Column | int) -> Column:
+    return F.array(*[F.substring(value, at, n) for n in range(1, HEAD + 1)])
+
 
-    A phrase is looked up by its own start: query text is cut at every place to the lengths
-    that phrases of the same first three characters have.
+def phrase_matches(queries: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(plain, kind, value) of every phrase that occurs in a query (plain).
+
+    What is looked up are the beginnings of phrases, of HEAD characters, with the lengths that phrases of each have. A
+    query is then cut at every place to just these lengths, and its pieces meet the phrases by their hash.
+    No phrase is compared with a text that does not hold it, and no text is repeated for its places.
     """
-    heads = phrases.select(
-        "kind", "value", "phrase", F.left("phrase", F.lit(3)).alias("head")
-    )
-    places = queries.select(
-        "plain",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length("plain"), F.lit(1))),
-                lambda i: F.substring("plain", i, F.length("plain")),
-            )
-        ).alias("rest"),
-    )
-    keyed = places.select(
-        "plain", "rest",
-        F.explode(
-            F.array_distinct(F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda n: F.left("rest", n)))
-        ).alias("head"),
-    )
-    found = keyed.join(heads, "head").filter(F.startswith("rest", "phrase"))
-    order = F.struct(F.length("value"), F.col("value"))
-    return found.groupBy("plain", "kind").agg(F.max_by("value", order).alias("value"))
+    asked = queries.select("plain").distinct().withColumn("needle", F.monotonically_increasing_id())
+    asked = materialize(asked, "needles")
+    places = F.sequence(F.lit(1), F.greatest(F.length("plain"), F.lit(1)))
+    heads = asked.select("needle", F.explode(F.array_distinct(F.flatten(F.transform(places, lambda i: _heads(F.col("plain"), i))))).alias("head"))
+    known = phrases.select(F.left("phrase", F.lit(HEAD)).alias("head"), F.length("phrase").alias("n")).distinct()
+    lengths = known.groupBy("head").agg(F.collect_list("n").alias("lengths"))
+    cuts = heads.join(lengths, "head").groupBy("needle").agg(F.map_from_entries(F.collect_list(F.struct("head", "lengths"))).alias("cuts"))
+    none = F.array().cast("array<int>")
+
+    def pieces(i: Column) -> Column:
+        by_head = F.transform(_heads(F.col("plain"), i), lambda h: F.coalesce(F.try_element_at("cuts", h), none))
+        return F.transform(F.array_distinct(F.flatten(by_head)), lambda n: F.substring("plain", i, n))
+
+    cut = asked.join(cuts, "needle").select("plain", F.explode(F.array_distinct(F.flatten(F.transform(places, pieces)))).alias("phrase"))
+    keyed = [df.withColumn("hash", F.xxhash64("phrase")) for df in (cut, phrases.select("kind", "value", "phrase"))]
+    return keyed[0].join(keyed[1], ["hash", "phrase"]).select("plain", "kind", "value")
+
+
+def contained_phrases(queries: DataFrame, phrases: DataFrame, first_categories: bool = True) -> DataFrame:
+    """One phrase of each kind that occurs in a query: (plain, kind, value).
+
+    Of brands and models it is the longest, ties the last by name; of categories the first in the catalogue's list, which
+    is sorted by name, or with ``first_categories`` off the longest too.
+    """
+    found = phrase_matches(queries, phrases)
+    longest = F.max_by("value", F.struct(F.length("value"), F.col("value")))
+    value = F.when(F.col("kind") == "category", F.min("value")).otherwise(longest) if first_categories else longest
+    return found.groupBy("plain", "kind").agg(value.alias("value"))
 
 
-def extract_query_facets(queries: DataFrame, catalog: DataFrame) -> DataFrame:
+def extract_query_facets(queries: DataFrame, catalog: DataFrame, first_categories: bool = True) -> DataFrame:
     """(query_id, query) with detected category, brand, model, attributes, numbers, free text."""
     normalized = queries.select("query_id", "query", plain(F.col("query")).alias("plain"))
-    found = contained_phrases(normalized.select("plain").distinct(), catalog_phrases(catalog))
+    found = contained_phrases(normalized.select("plain").distinct(), catalog_phrases(catalog), first_categories)
     by_kind = found.groupBy("plain").pivot("kind", ["brand", "model", "category"]).agg(F.first("value"))
     joined = normalized.join(by_kind, "plain", "left")
     query, words = F.col("plain"), _words(F.col("plain"))
