@@ -339,6 +339,44 @@ def test_signal_stream_equals_batch(spark, tables, tmp_path):
     assert {(r.session_id, r.key): round(r.weight, 6) for r in live.collect()} == expected
 
 
+def test_live_signals_end_and_are_merged(spark, tables, tmp_path):
+    """Repeated events count once, late ones and silent sessions go, one that comes back starts anew."""
+    begin, minute = datetime(2025, 6, 1), timedelta(minutes=1)
+    rows = [
+        [("a", 1, 0), ("a", 2, 1), ("b", 3, 1)], [("a", 2, 1), ("a", 1, 0), ("c", 4, 5)],  # both events of a once more
+        [("c", 5, 200)], [("c", 6, 201), ("d", 7, 3)],  # d is later than the watermark allows
+        [("b", 8, 202)], [("c", 9, 203)],
+    ]
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "event_id long, session_id string, event_type string, ste_id string, category_norm string, created_at timestamp"
+    for i, batch in enumerate(rows):
+        events = [(n, s, "result_saved", "T61", "шины", begin + at * minute) for s, n, at in batch]
+        spark.createDataFrame(events, schema).coalesce(1).write.parquet(f"{source}/{i}")
+        stream = spark.readStream.schema(schema).parquet(f"{source}/*")
+        signals_ = signal_streaming.session_signals_stream(stream, "10 minutes", timedelta(minutes=30))
+        writer = signal_streaming.write_merged_signals(signals_, out, every=2)
+        writer.option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start().awaitTermination()
+        if i == 1:
+            live = {(r.session_id, r.kind): r.weight for r in signal_streaming.current_signals(spark, out).collect()}
+            assert live["a", "product"] == 2 * live["b", "product"] == 2 * live["c", "product"]
+    live = {(r.session_id, r.kind): r.weight for r in signal_streaming.current_signals(spark, out).collect()}
+    assert {s for s, _ in live} == {"b", "c"}  # a was silent, b came back with one event, c never fell silent
+    assert live["b", "product"] * 4 == pytest.approx(live["c", "product"])
+    assert len(list((tmp_path / "out" / "merged").glob("n=*"))) == 1 and len(list((tmp_path / "out" / "changes").glob("n=*"))) < 2
+
+
+def test_event_stream_saves_products(spark, tables, tmp_path):
+    schema = "event_id string, session_id string, customer_inn string, event_type string, ste_id string, created_at timestamp"
+    events = [("e1", "s", "31", "result_saved", "W90", RUN_AT), ("e2", "s", "31", "no_such_type", "W90", RUN_AT), ("e3", "s", "31", "result_opened", "T61", RUN_AT)]
+    spark.createDataFrame(events, schema).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    writer = signal_streaming.write_events(stream, tables.products, str(tmp_path / "out"))
+    writer.option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start().awaitTermination()
+    written = spark.read.parquet(str(tmp_path / "out" / "events"))
+    assert {(r.event_id, r.category_norm) for r in written.collect()} == {("e1", "планшеты"), ("e3", "шины")}
+    assert [r.ste_id for r in spark.read.parquet(str(tmp_path / "out" / "saved_results")).collect()] == ["W90"]
+
+
 def test_ingest_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     write_file(tmp_path / "in", "1.csv", PRODUCTS)
