@@ -21,9 +21,9 @@ from quarry.session import materialize, scratch_folder
 #: Hashes that stand for the beginning and the end of a text.
 BEGIN, END = np.uint64(0xB0), np.uint64(0xE0)
 #: Bigrams that a task gathers before it passes them on; tokens and words that one shard is meant for.
-GATHERED, SHARD_TOKENS, SHARD_WORDS = 4_000_000, 4_000_000, 1_000_000
+GATHERED, SHARD_TOKENS, SHARD_WORDS = 1_000_000, 1_500_000, 1_000_000
 #: Classes of words whose counts tell which contexts are frequent; text bytes scored at a time.
-CLASSES, SCORED = 1 << 16, 1 << 22
+CLASSES, SCORED = 1 << 16, 1 << 21
 
 
 def shared_path(spark) -> str:
@@ -161,7 +161,7 @@ def _build_shard(folder: str):
         words, contexts = np.unique(word, return_counts=True)
         by_word = pd.DataFrame({"kind": 1, "h": words.view(np.int64), "x0": contexts, "x1": 0, "x2": 0, "x3": 0})
         of = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
-        whole = pd.DataFrame({"kind": [2], "h": [0], **{f"x{i}": [n] for i, n in enumerate(of)}})
+        whole = pd.DataFrame({"kind": [2], "h": [shard], **{f"x{i}": [n] for i, n in enumerate(of)}})
         return pd.concat([by_context, by_word, whole], ignore_index=True)
 
     return built
@@ -182,7 +182,7 @@ def _build_words(folder: str):
         followed = frame["followed"].to_numpy()
         followed = followed[frame["u"].to_numpy() != BEGIN]
         counts = [int((followed == k).sum()) for k in (1, 2, 3, 4)] + [int((followed > 4).sum())]
-        return pd.DataFrame({**{f"m{k + 1}": [n] for k, n in enumerate(counts)}, "all": [int(followed.sum())]})
+        return pd.DataFrame({**{f"m{k + 1}": [n] for k, n in enumerate(counts)}, "all": [int(followed.sum())], "shard": [shard]})
 
     return built
 
@@ -198,7 +198,10 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 @dataclass(frozen=True)
 class Model:
-    """Where the arrays lie, and the numbers that hold for the whole model."""
+    """Where the arrays lie, and the numbers that hold for the whole model.
+
+    ``absent`` are the shards of key and word that no row fell into; all others must have their files.
+    """
 
     folder: str
     shards: int
@@ -211,6 +214,7 @@ class Model:
     vocabulary: int
     tokens: int
     texts: int
+    absent: dict[str, frozenset[int]]
 
 
 def train(texts: DataFrame) -> Model:
@@ -244,17 +248,25 @@ def train(texts: DataFrame) -> Model:
     )
     word_shards = max(1, math.ceil(tokens / 10 / SHARD_WORDS))
     words = words.withColumn("shard", F.pmod(F.shiftrightunsigned("h", 8), F.lit(word_shards)))
-    schema = "m1 long, m2 long, m3 long, m4 long, m5 long, `all` long"
+    schema = "m1 long, m2 long, m3 long, m4 long, m5 long, `all` long, shard long"
     held = materialize(words.groupBy("shard").applyInPandas(_build_words(folder), schema), "kneser-ney-words")
-    m1, m2, m3, m4, m5, distinct = held.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in held.columns]).first()
+    m1, m2, m3, m4, m5, distinct = held.drop("shard").agg(*[F.coalesce(F.sum(f"`{c}`"), F.lit(0)) for c in held.columns[:-1]]).first()
     by_word = discounts(m1, m2, m3, m4)
     more = by_word[0] * m1 + by_word[1] * m2 + by_word[2] * (m3 + m4 + m5)
     return Model(
         folder, shards, word_shards, hot, discounts(*of), by_word, distinct,
         more / distinct if distinct else 1.0, m1 + m2 + m3 + m4 + m5, tokens, count,
+        {"key": _absent(sums.filter("kind = 2").select("h"), shards), "word": _absent(held.select("shard"), word_shards)},
     )
 
 
+def _absent(present: DataFrame, shards: int) -> frozenset[int]:
+    """Numbers below ``shards`` that are not listed; only a model of few tokens has such."""
+    if present.count() == shards:
+        return frozenset()
+    return frozenset(range(shards)) - {row[0] for row in present.collect()}
+
+
 class _Reader:
     """Look-ups in the memory-mapped arrays."""
 
@@ -263,8 +275,9 @@ class _Reader:
 
     def array(self, name: str, shard: int) -> np.ndarray | None:
         if (name, shard) not in self.open:
-            path = f"{self.model.folder}/{name}-{shard}.npy"
-            self.open[name, shard] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
+            # A file that should be there and is not ends the task: scores without it would be wrong.
+            empty = shard in self.model.absent["word" if name in ("word", *_WORD_COLUMNS) else "key"]
+            self.open[name, shard] = None if empty else np.load(f"{self.model.folder}/{name}-{shard}.npy", mmap_mode="r")
         return self.open[name, shard]
 
     def _places(self, name: str, keys: np.ndarray, shard: np.ndarray, shards: int):
