@@ -20,6 +20,8 @@ LENGTH, ANCHOR = 400, 32
 #: Text bytes meant for one index, and different segments of one anchor that are kept
 #: together (of about 600 bytes each), window hashes of split anchors that one task compares.
 INDEX_BYTES, TOGETHER, SHARD_WINDOWS = 1_500_000, 2_000, 2_000_000
+#: Join keys of one passage.
+SALTS = 8
 #: Bases of the anchors' and the texts' polynomial hashes.
 _ANCHOR_BASE, _TEXT_BASE = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
 _PLACE = np.uint64((1 << 21) - 1)
@@ -277,8 +279,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     )
     contents = materialize(contents, "segment-contents")
     several = contents.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1")
-    copies = contents.filter("n > 1").select("anchor", "content")
-    spans = found.join(copies, ["anchor", "content"], "left_semi").select(
+    # One passage may stand in most rows, so its segments are spread over SALTS join keys.
+    copies = contents.filter("n > 1").select("anchor", "content", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = found.withColumn("salt", F.pmod(F.xxhash64("key", "start"), F.lit(SALTS)).cast("int"))
+    spans = salted.join(copies, ["anchor", "content", "salt"], "left_semi").select(
         "key", "start", (F.col("start") + F.col("windows") + LENGTH - 1).alias("end")
     )
     opened = contents.join(several, "anchor").select("anchor", "m", "content", "first.*")
