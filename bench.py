@@ -23,8 +23,8 @@ JOBS = [
     ("search_personalised", Q.ranked_personal), ("feed_all_customers", Q.whole_feed),
 ]
 QUERIES = [
-    "customer_token_weights", "term_dictionary", "corpus_search", "search_facets", "rank_shift",
-    "personalised_metrics", "recommend", "session_signals", "eval_cases", "contains_search",
+    "customer_token_weights", "term_dictionary", "corpus_search", "search_facets", "session_signals",
+    "eval_cases", "contains_search", "phrase_matches", "read_quoted", "incremental_index",
 ]
 
 
@@ -68,7 +68,10 @@ def main() -> None:
                 "queries": timings,
                 "sf": folder.rsplit("sf", 1)[-1],
                 "rebuild_rows_per_second": round(rows / rebuild, 1),
+                "rebuild_rows_per_second_and_core": round(rows / rebuild / int(cores), 1),
                 "searches_per_second": round(asked / search, 1),
+                "core_milliseconds_per_search": round(1000 * int(cores) * search / asked, 1),
+                "feed_customers_per_second": round(asked / timings["feed_all_customers"], 1),
             }
         )
     )
