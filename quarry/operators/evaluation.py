@@ -87,10 +87,15 @@ def metric_deltas(baseline: DataFrame, personalised: DataFrame) -> DataFrame:
 
 
 def training_cases(purchases: DataFrame, n: int = 2000) -> DataFrame:
-    """Latest matched purchases as (query_id, customer_inn, query, expected)."""
+    """Matched purchases loaded last as (query_id, customer_inn, query, expected).
+
+    Those of one load, or all where no load times are kept, are ordered by the day of the purchase, then by key.
+    """
     name = F.nullif(F.trim("purchase_name_raw"), F.lit(""))
     title = F.nullif(F.trim("title_raw"), F.lit(""))
     order = [F.desc_nulls_last("contract_date"), F.asc("contract_key")]
+    if "updated_at" in purchases.columns:
+        order = [F.desc_nulls_last("updated_at"), *order]
     latest = top_k(purchases, [], order, n, rank="case_no")
     return latest.select(
         F.concat_ws("#", "contract_key", "customer_inn").alias("query_id"), "case_no",

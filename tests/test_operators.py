@@ -223,6 +223,17 @@ def test_stored_index_is_joined_without_moving_it(spark, hot_terms, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_training_cases_are_the_purchases_loaded_last(spark):
+    rows = [("a", "2024-01-01", "2025-02-02"), ("b", "2025-01-01", "2025-02-01"), ("c", "2023-01-01", "2025-02-02"), ("d", None, None)]
+    purchases = spark.createDataFrame(
+        [(k, "1", f"name {k}", f"title {k}", f"p{k}", day, load) for k, day, load in rows],
+        "contract_key string, customer_inn string, purchase_name_raw string, title_raw string, ste_id string, contract_date string, updated_at string",
+    )
+    in_order = lambda df, n: [r.query_id[0] for r in evaluation.training_cases(df, n).orderBy("case_no").collect()]
+    assert in_order(purchases, 3) == ["a", "c", "b"]
+    assert in_order(purchases.drop("updated_at"), 3) == ["b", "a", "c"]
+
+
 def test_salted_top_k_is_exact(spark):
     rows = spark.range(5000).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("key"),
