@@ -506,6 +506,43 @@ def corpus_terms(spark, d):
     return corpus_index(spark, d).terms.select("term", "df")
 
 
+SIMILAR_SQL = CORPUS_SQL.replace("WITH", "WITH RECURSIVE", 1) + r""",
+asked AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS word FROM benchmark),
+sides AS (SELECT word, false AS known FROM asked WHERE word NOT IN (SELECT term FROM df) UNION ALL SELECT term, true FROM df),
+words AS MATERIALIZED (SELECT *, length(word) AS size, 
+    list_transform(range(1, length(word) + 1), lambda i: word[i] || (i - length(replace(left(word, i), word[i], '')))::VARCHAR) AS letters
+  FROM sides),
+met AS (SELECT a.word AS token, b.word AS term, a.size AS a, b.size AS b FROM words a JOIN words b
+  ON NOT a.known AND b.known AND 20 * least(a.size, b.size) >= 7 * (a.size + b.size)
+  AND 20 * len(list_intersect(a.letters, b.letters)) >= 7 * (a.size + b.size)),
+walk AS (
+  SELECT *, 0 AS i, list_transform(range(0, b + 1), lambda j: 0::BIGINT) AS best FROM met
+  UNION ALL
+  SELECT token, term, a, b, i + 1, list_transform(range(0, b + 1), lambda j:
+    CASE WHEN instr(reverse(left(term, j)), token[i + 1]) = 0 THEN best[j + 1]
+         ELSE greatest(best[j + 1], best[j + 1 - instr(reverse(left(term, j)), token[i + 1])] + 1) END)
+  FROM walk WHERE i < a)
+SELECT token, term, abs(a - b) AS distance, df AS doc_freq, round(2.0 * best[b + 1] / (a + b), 6) AS similarity
+FROM walk JOIN df USING (term) WHERE i = a AND 20 * best[b + 1] >= 7 * (a + b)
+QUALIFY row_number() OVER (PARTITION BY token ORDER BY 2.0 * best[b + 1] / (a + b) DESC, term) <= 12"""
+
+
+@query(SIMILAR_SQL)
+def similar_terms(spark, d):
+    """Words of the benchmark that the corpus lacks, with the corpus's most similar words."""
+    asked = A.table(spark, d, "benchmark").select(
+        F.explode(text.index_terms(F.lower("text"), K.CORPUS_TERM_PATTERN)).alias("token")
+    )
+    known = corpus_index(spark, d).terms.select(
+        "term", F.col("df").alias("doc_freq"), F.lit("token").alias("term_type")
+    )
+    unknown = asked.distinct().join(known, F.col("token") == F.col("term"), "left_anti")
+    return spelling.similar_terms(unknown, known).select(
+        "token", "term", F.col("distance").cast("bigint").alias("distance"), "doc_freq",
+        F.round("raw_score", 6).alias("similarity"),
+    )
+
+
 @query(CORPUS_HITS)
 def corpus_search(spark, d):
     asked = A.table(spark, d, "benchmark").select(

@@ -4,8 +4,8 @@ Both joins below are blocked by keys that every true pair shares, so they lose n
 
 * edit distance up to two: two words within it meet in a string obtained by deleting at most
   two characters from each (of their first seven characters, if longer);
-* similarity of 0.7: a pair whose longest common subsequence makes up 70 % of both lengths
-  always shares a padded two-letter piece, and their lengths differ by at most 13 : 7.
+* similarity of 0.7: the letters of a common subsequence that makes up 70 % of both lengths occur in
+  both words, so some of the rarest letters of one are among the rarest of the other (`similar_pairs`).
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ MAX_DISTANCE = 2
 PREFIX = 7
 CUTOFF = 0.7
 MAX_CANDIDATES = 6
+#: Common letters needed up to which a key of similar words holds four, three, two letters; beyond, one.
+KEY_LETTERS = (12, 18, 28)
 
 
 def _without_one(word: Column) -> Column:
@@ -137,32 +139,108 @@ def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     )
 
 
-def _pieces(word: Column) -> Column:
-    padded = F.concat(F.lit("^"), word, F.lit("$"))
-    return F.array_distinct(
-        F.transform(F.sequence(F.lit(1), F.length(word) + 1), lambda i: F.substring(padded, i, F.lit(2)))
+def _letters(word: Column) -> Column:
+    """The letters of ``word``, each with the number of its occurrence, so that none is repeated."""
+    return F.transform(
+        F.sequence(F.lit(1), F.length(word)),
+        lambda i: F.concat(
+            F.substring(word, i, F.lit(1)),
+            i - F.length(F.replace(F.left(word, i), F.substring(word, i, F.lit(1)), F.lit(""))),
+        ),
     )
 
 
-def similar_terms(unknown: DataFrame, dictionary: DataFrame, limit: int = 2 * MAX_CANDIDATES) -> DataFrame:
-    """Most similar terms per token among those of similarity 0.7 and more.
+def _neighbours(word: Column) -> Column:
+    """The pairs of neighbouring letters of ``word`` with its ends marked, repeats included."""
+    padded = F.concat(F.lit("^"), word, F.lit("$"))
+    return F.transform(F.sequence(F.lit(1), F.length(word) + 1), lambda i: F.substring(padded, i, F.lit(2)))
+
+
+def _choices(letters: Column, needed: Column, count: int) -> Column:
+    """All ways to take ``count`` of the first letters that two words of ``needed`` common ones must share."""
+    size = F.array_size(letters) - needed + count
+    chosen = F.array(F.struct(F.lit(0).alias("next"), F.lit("").alias("key")))
+    for nth in range(count):
+        chosen = F.flatten(
+            F.transform(
+                chosen,
+                lambda c: F.transform(
+                    F.sequence(c["next"], size - (count - nth)),
+                    lambda j: F.struct(
+                        (j + 1).alias("next"), F.concat(c["key"], F.get(letters, j)).alias("key")
+                    ),
+                ),
+            )
+        )
+    return F.transform(chosen, lambda c: c["key"])
+
+
+def _needed(a: Column, b: Column) -> Column:
+    """Length of the common subsequence that words of these lengths need for the similarity."""
+    return F.ceil((a + b) * (CUTOFF / 2) - 1e-9).cast("int")
+
+
+def _taken(needed: Column) -> Column:
+    """Letters in a key: fewer for long words, which are rare and could be cut in very many ways."""
+    wanted = F.lit(len(KEY_LETTERS) + 1) - sum(
+        ((needed > longest).cast("int") for longest in KEY_LETTERS), F.lit(0)
+    )
+    return F.least(wanted, needed)
+
 
-    The term length is part of the join key, which spreads common pieces over many keys.
+def _similarity_keys(words: DataFrame, name: str, letters: DataFrame) -> DataFrame:
+    """(word, needed, key): the choices of a word for every length a common subsequence can need."""
+    ordered = (
+        words.select(name, F.explode(_letters(F.col(name))).alias("letter"))
+        .join(letters, "letter", "left")
+        .groupBy(name)
+        .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "letter"))).alias("found"))
+        .select(name, F.col("found.letter").alias("letters"), F.length(name).alias("length"))
+    )
+    fewest = _needed(F.col("length"), F.ceil(F.col("length") * CUTOFF / (2 - CUTOFF) - 1e-9))
+    each = ordered.withColumn("needed", F.explode(F.sequence(fewest, F.col("length"))))
+    choices = F.lit(None).cast("array<string>")
+    for count in range(1, len(KEY_LETTERS) + 2):
+        choices = F.when(
+            _taken(F.col("needed")) == count, _choices(F.col("letters"), F.col("needed"), count)
+        ).otherwise(choices)
+    return each.select(name, "needed", F.explode(choices).alias("key"))
+
+
+def similar_pairs(unknown: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Pairs (token, term) whose letters admit a similarity of 0.7; the similarity itself is left to check.
+
+    Words of lengths a and b need a common subsequence of L = 0.35 (a + b) letters, rounded up. With the letters of
+    every word in one order, rarest first, the first ``a - L + k`` of one and ``b - L + k`` of the other
+    then share k letters; these and L are the join key. What meets so must have L letters in common, and of the L + 1
+    pairs of neighbours in the padded common subsequence all but those that the a + b - 2 L other letters can part.
     """
-    lengths = F.sequence(
-        F.ceil(F.length("token") * CUTOFF / (2 - CUTOFF) - 1e-9).cast("int"),
-        F.floor(F.length("token") * (2 - CUTOFF) / CUTOFF + 1e-9).cast("int"),
+    typed = unknown.select("token").filter("token != ''").distinct()
+    terms = dictionary.select("term").filter("term != ''").distinct()
+    letters = (
+        terms.select(F.explode(_letters(F.col("term"))).alias("letter")).groupBy("letter").agg(F.count("*").alias("n"))
     )
-    typed = unknown.select("token", F.explode(lengths).alias("size"), _pieces(F.col("token")).alias("p"))
-    typed = typed.select("token", "size", F.explode("p").alias("piece"))
-    terms = dictionary.select(
-        "term", F.length("term").alias("size"), F.explode(_pieces(F.col("term"))).alias("piece")
+    met = (
+        _similarity_keys(typed, "token", letters)
+        .join(_similarity_keys(terms, "term", letters), ["needed", "key"])
+        .filter(F.col("needed") == _needed(F.length("token"), F.length("term")))
+        .groupBy("token", "term")
+        .agg(F.max("needed").alias("needed"))
     )
-    pairs = typed.join(terms, ["piece", "size"]).select("token", "term").distinct()
-    scored = pairs.withColumn("raw_score", similarity("token", "term")).filter(
-        F.col("raw_score") >= CUTOFF
+    common = F.array_size(F.array_intersect(_letters(F.col("token")), _letters(F.col("term"))))
+    left, right = _neighbours(F.col("token")), _neighbours(F.col("term"))
+    repeats = F.least(*[F.array_size(p) - F.array_size(F.array_distinct(p)) for p in (left, right)])
+    kept = 3 * F.col("needed") + 1 - F.length("token") - F.length("term")
+    alike = F.array_size(F.array_intersect(left, right)) >= kept - repeats
+    return met.filter((common >= F.col("needed")) & alike).select("token", "term")
+
+
+def similar_terms(unknown: DataFrame, dictionary: DataFrame, limit: int = 2 * MAX_CANDIDATES) -> DataFrame:
+    """Most similar terms per token among those of similarity 0.7 and more."""
+    scored = similar_pairs(unknown, dictionary).withColumn("raw_score", similarity("token", "term"))
+    best = top_k(
+        scored.filter(F.col("raw_score") >= CUTOFF), ["token"], [F.desc("raw_score"), F.asc("term")], limit
     )
-    best = top_k(scored, ["token"], [F.desc("raw_score"), F.asc("term")], limit)
     return best.drop("rank").join(dictionary, "term").select(
         "token", "term",
         F.abs(F.length("token") - F.length("term")).alias("distance"),

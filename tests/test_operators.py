@@ -60,6 +60,20 @@ def test_similar_terms_equal_brute_force(words):
     assert {(r.token, r.term): r.raw_score for r in found} == pytest.approx(expected)
 
 
+def test_similar_pairs_are_few_and_none_is_lost(spark):
+    rng = random.Random(23)
+    parts = ["ла", "сти", "ро", "мен", "ку", "вар", "о", "пре", "шт", "ние", "би", "ён", "g", "za", "11"]
+    make = lambda: "".join(rng.choices(parts, k=rng.randint(1, 7)))
+    terms = sorted({make() for _ in range(900)} | {"а", "аа", "x" * 60, "ab" * 20})
+    tokens = sorted({make() for _ in range(60)} | {"а", "ааа", "x" * 45, "ab" * 21, "ba" * 17})
+    dictionary = spark.createDataFrame([(t, 1, "token") for t in [*terms, ""]], "term string, doc_freq int, term_type string")
+    unknown = spark.createDataFrame([(t,) for t in [*tokens, "", tokens[0], None]], "token string")
+    pairs = {(r.token, r.term) for r in spelling.similar_pairs(unknown, dictionary).collect()}
+    true = {(a, b) for a in tokens for b in terms if 20 * lcs(a, b) >= 7 * (len(a) + len(b))}
+    assert true <= pairs and len(pairs) < 0.05 * len(tokens) * len(terms)
+    assert spelling.similar_terms(unknown.limit(0), dictionary).count() == 0
+
+
 def test_suggestions_prefer_edits_then_similarity(spark):
     dictionary = spark.createDataFrame(
         [("рабочая", 120, "token"), ("наушники", 90, "token"), ("smartbuy", 500, "brand")],
