@@ -211,20 +211,7 @@ def token_forms(spark, d):
           FROM c_products LEFT JOIN c_attributes USING (ste_id)
           GROUP BY ste_id, title_raw, brand_guess, model_guess, category_raw""")
 def plain_search_text(spark, d):
-    return with_plain_text(A.products(spark, d)).select("ste_id", "plain_text")
-
-
-def with_plain_text(df):
-    attributes = F.array_join(
-        F.flatten(F.transform("attributes", lambda a: F.array(a["name_raw"], a["value_raw"]))), " "
-    )
-    return df.withColumn(
-        "plain_text",
-        text.plain_search_text(
-            F.col("title_raw"), F.col("brand_guess"), F.col("model_guess"), F.col("category_raw"),
-            attributes,
-        ),
-    )
+    return catalog.with_plain_text(A.products(spark, d)).select("ste_id", "plain_text")
 
 
 @query(f"""SELECT contract_key, strftime(contract_date, '%Y-%m-%d') AS contract_date,
@@ -866,20 +853,53 @@ def lookup_products(spark, d):
     )
 
 
+SEARCHED_SQL = """(
+            SELECT ste_id, attributes_raw, lower(concat_ws(' ', title_raw, brand_guess, model_guess, category_raw,
+              string_agg(name_raw || ' ' || value_raw, ' ' ORDER BY pos))) AS plain_text
+            FROM c_products LEFT JOIN c_attributes USING (ste_id)
+            GROUP BY ste_id, attributes_raw, title_raw, brand_guess, model_guess, category_raw)"""
+
+
 @query("""SELECT query_id, ste_id, total_count, rank FROM (
             SELECT s.p_name AS query_id, p.ste_id, count(*) OVER (PARTITION BY s.p_name) AS total_count,
                    row_number() OVER (PARTITION BY s.p_name ORDER BY p.ste_id) AS rank
             FROM (SELECT DISTINCT p_name FROM part) s JOIN c_plain p
               ON contains(plain_text, s.p_name) OR contains(lower(attributes_raw), s.p_name))
-          WHERE rank <= 20""".replace("c_plain p", """(
-            SELECT ste_id, attributes_raw, lower(concat_ws(' ', title_raw, brand_guess, model_guess, category_raw,
-              string_agg(name_raw || ' ' || value_raw, ' ' ORDER BY pos))) AS plain_text
-            FROM c_products LEFT JOIN c_attributes USING (ste_id)
-            GROUP BY ste_id, attributes_raw, title_raw, brand_guess, model_guess, category_raw) p"""))
+          WHERE rank <= 20""".replace("c_plain", SEARCHED_SQL))
 def contains_search(spark, d):
     names = A.table(spark, d, "part").select("p_name").distinct()
     asked = names.select(F.col("p_name").alias("query_id"), F.col("p_name").alias("query"))
-    found = catalog.contains_search(with_plain_text(products(spark, d)), asked)
+    found = catalog.contains_search(catalog.with_plain_text(products(spark, d)), asked)
+    return found.select("query_id", "ste_id", "total_count", F.col("rank").cast("bigint").alias("rank"))
+
+
+@shared
+def piece_index(spark, d):
+    """The pieces as a snapshot keeps them, beside its index."""
+    folder = f"{scratch_folder(spark)}/pieces-{uuid.uuid4().hex}"
+    texts = catalog.searched_fields(catalog.with_plain_text(products(spark, d)))
+    index_store.write_index(spark, folder, texts, "ste_id", "plain_text")
+    index_store.write_pieces(spark, folder, texts, "ste_id", ["plain_text", "raw"])
+    return index_store.load_pieces(spark, folder)
+
+
+@query("""SELECT query_id, ste_id, total_count, rank FROM (
+            SELECT *, count(*) OVER (PARTITION BY query_id) AS total_count, row_number() OVER (PARTITION BY query_id ORDER BY ste_id) AS rank
+            FROM (SELECT DISTINCT p_name[i:i + n - 1] AS query_id FROM part, range(1, 40) a(i), range(1, 9) b(n) WHERE i + n - 1 <= length(p_name)) s
+            JOIN c_plain p ON trim(query_id) <> ''
+              AND (contains(plain_text, trim(query_id)) OR contains(lower(attributes_raw), trim(query_id))))
+          WHERE rank <= 20""".replace("c_plain", SEARCHED_SQL))
+def contains_stored(spark, d):
+    """Every part of up to eight letters of the product names, looked up in the stored pieces."""
+    length = F.length("p_name")
+    names = A.table(spark, d, "part").select("p_name").distinct()
+    cut = names.select("p_name", F.explode(F.sequence(F.lit(1), length)).alias("i"))
+    parts = cut.select(F.explode(F.transform(
+        F.sequence(F.lit(1), F.least(F.lit(8), length - F.col("i") + 1)), lambda n: F.substring("p_name", F.col("i"), n)
+    )).alias("query_id")).distinct()
+    found = catalog.contains_search(
+        catalog.with_plain_text(products(spark, d)), parts.withColumn("query", F.col("query_id")), pieces=piece_index(spark, d)
+    )
     return found.select("query_id", "ste_id", "total_count", F.col("rank").cast("bigint").alias("rank"))
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text
+from quarry.operators import substrings
 from quarry.operators.ranking import top_k
+from quarry.session import materialize
 
 
 def standardize_products(raw: DataFrame) -> DataFrame:
@@ -153,75 +155,46 @@ def saved_results(saved: DataFrame, products: DataFrame, per_user: int = 100) ->
     return newest.join(titles, "ste_id", "left")
 
 
+def with_plain_text(products: DataFrame) -> DataFrame:
+    """Products with the lower-cased text that substring search looks into."""
+    attributes = F.array_join(
+        F.flatten(F.transform("attributes", lambda a: F.array(a["name_raw"], a["value_raw"]))), " "
+    )
+    return products.withColumn(
+        "plain_text",
+        text.plain_search_text(
+            F.col("title_raw"), F.col("brand_guess"), F.col("model_guess"), F.col("category_raw"), attributes
+        ),
+    )
+
+
+def searched_fields(products: DataFrame) -> DataFrame:
+    """The two texts of a product that substring search looks into, lower-cased."""
+    return products.select("ste_id", "plain_text", F.lower("attributes_raw").alias("raw"))
+
+
 def contains_search(
-    products: DataFrame, queries: DataFrame, limit: int = 20, offset: int = 0
+    products: DataFrame, queries: DataFrame, limit: int = 20, offset: int = 0,
+    pieces: substrings.PieceIndex | None = None,
 ) -> DataFrame:
     """Substring search over (ste_id, plain_text, attributes_raw): page and total per query.
 
-    Texts are keyed by their pieces of up to three characters, and a query joins on its rarest
-    piece, so only products that share that piece are tested for the whole substring.
+    ``pieces`` is the index of a snapshot (`index_store.load_pieces`); without it one is made for this search.
     """
     typed = queries.select(
         "query_id", F.lower(F.trim(F.col("query"))).alias("needle")
     ).filter("needle != ''")
-    needles = typed.select("needle").distinct()
-    haystack = products.select(
-        "ste_id",
-        F.concat_ws(
-            "\n", "plain_text", F.lower(F.coalesce("attributes_raw", F.lit("")))
-        ).alias("text"),
-        F.col("plain_text"),
-        F.lower(F.coalesce("attributes_raw", F.lit(""))).alias("raw"),
-    )
-    piece_rows = haystack.select("ste_id", F.explode(pieces(F.col("text"))).alias("piece"))
-    piece_counts = piece_rows.groupBy("piece").agg(F.count("*").alias("n"))
-    keyed = (
-        needles.withColumn("piece", F.explode(needle_pieces(F.col("needle"))))
-        .join(piece_counts, "piece", "left")
-        .groupBy("needle")
-        .agg(F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)), "piece")).alias("piece"))
-    )
-    hits = (
-        keyed.join(piece_rows, "piece")
-        .join(haystack, "ste_id")
-        .filter(F.col("plain_text").contains(F.col("needle")) | F.col("raw").contains(F.col("needle")))
-        .select("needle", "ste_id")
-    )
+    texts, fields = searched_fields(products), ["plain_text", "raw"]
+    if pieces is None:
+        places = materialize(substrings.piece_places(texts, "ste_id", fields), "piece-places")
+        pieces = substrings.PieceIndex(places, substrings.count_pieces(places))
+    hits = substrings.find(typed.select("needle").distinct(), pieces, texts, "ste_id", fields)
     totals = hits.groupBy("needle").agg(F.count("*").alias("total_count"))
     ranked = top_k(hits, ["needle"], [F.asc("ste_id")], offset + limit, spread_by="ste_id")
     shown = ranked.filter(F.col("rank") > offset).join(totals, "needle")
     return typed.join(shown, "needle")
 
 
-def pieces(text_column: Column) -> Column:
-    """Distinct pieces of one, two and three characters of a text."""
-    return F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.array(F.lit(1), F.lit(2), F.lit(3)),
-                lambda n: F.when(
-                    F.length(text_column) >= n,
-                    F.transform(
-                        F.sequence(F.lit(1), F.length(text_column) - n + 1),
-                        lambda i: F.substring(text_column, i, n),
-                    ),
-                ).otherwise(F.array().cast("array<string>")),
-            )
-        )
-    )
-
-
-def needle_pieces(needle: Column) -> Column:
-    """Pieces of a needle by which it can be looked up: its longest ones, up to three."""
-    size = F.least(F.length(needle), F.lit(3))
-    return F.array_distinct(
-        F.transform(
-            F.sequence(F.lit(1), F.length(needle) - size + 1),
-            lambda i: F.substring(needle, i, size),
-        )
-    )
-
-
 def customer_summary(profiles: DataFrame, ids: DataFrame) -> DataFrame:
     """Profile rows of the given customers, in the shape shown to users."""
     return profiles.join(ids.select("customer_inn").distinct(), "customer_inn", "left_semi").select(

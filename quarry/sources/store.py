@@ -197,6 +197,8 @@ def build_vocabulary(
         index_store.update_index(spark, base, target, read_table(spark, base, "products"), full, "ste_id", "search_text")
     else:
         index_store.write_index(spark, target, full, "ste_id", "search_text")
+    searched = catalog.searched_fields(catalog.with_plain_text(full))
+    index_store.write_pieces(spark, target, searched, "ste_id", ["plain_text", "raw"])
 
 
 def load_stats(

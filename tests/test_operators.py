@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import constants as K
-from quarry.operators import catalog, evaluation, feed, index, query_facets, ranking, spelling, vocabulary
+from quarry.operators import catalog, evaluation, feed, index, query_facets, ranking, spelling, substrings, vocabulary
 from quarry.sources import index_store
 
 
@@ -325,6 +325,48 @@ def test_pairwise_ranker_learns_the_separating_feature(spark):
     assert evaluation.apply_ranker(scored, []) is scored
 
 
+def test_substrings_equal_brute_force(spark, tmp_path):
+    rng = random.Random(5)
+    draw = lambda most: "".join(rng.choices("аб 1\n", k=rng.randint(0, most)))
+    rows = [(f"p{i}", draw(30), draw(12)) for i in range(150)]
+    rows += [("n0", None, "абаб"), ("n1", "ааааааа", None), ("n2", None, None), ("n3", "", ""), ("n4", "аб" * 3000, "x")]
+    needles = sorted({draw(9) for _ in range(200)} | {"а", "x", "аа", "ааа", "аааа", "б" * 12, "нет", "я", "абабабабаб"})
+    texts = spark.createDataFrame(rows, "ste_id string, plain string, raw string")
+    asked = spark.createDataFrame([(n,) for n in needles if n], "needle string")
+    folder, fields = str(tmp_path / "snapshot"), ["plain", "raw"]
+    index_store.write_index(spark, folder, texts, "ste_id", "plain")
+    index_store.write_pieces(spark, folder, texts, "ste_id", fields)
+    stored = index_store.load_pieces(spark, folder)
+    found = substrings.find(asked, stored, texts, "ste_id", fields)
+    hits = [(r.needle, r.ste_id) for r in found.collect()]
+    expected = {(n, key) for n in needles if n for key, *cells in rows if any(n in c for c in cells if c)}
+    assert len(hits) == len(set(hits)) and set(hits) == expected
+    assert substrings.find(asked.limit(0), stored, texts, "ste_id", fields).count() == 0
+    nothing = substrings.PieceIndex(stored.places.limit(0), stored.counts.limit(0))
+    assert substrings.find(asked, nothing, texts.limit(0), "ste_id", fields).count() == 0
+
+
+def test_stored_pieces_are_joined_where_they_lie(spark, tmp_path):
+    texts = spark.createDataFrame([(f"p{i}", f"шина {i}", None) for i in range(40)], "ste_id string, plain string, raw string")
+    folder, fields = str(tmp_path / "snapshot"), ["plain", "raw"]
+    index_store.write_index(spark, folder, texts, "ste_id", "plain")
+    index_store.write_pieces(spark, folder, texts, "ste_id", fields)
+    asked = spark.createDataFrame([("шина 1",), ("на",)], "needle string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = substrings.find(asked, index_store.load_pieces(spark, folder), texts, "ste_id", fields)
+        executed = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    lines, passed = executed.splitlines(), ("Filter", "Project", "ColumnarToRow")
+    scans = [at for at, line in enumerate(lines) if "FileScan parquet" in line and "place#" in line]
+    assert scans
+    for at in scans:
+        assert "Exchange" not in next(line for line in reversed(lines[:at]) if not any(w in line for w in passed))
+    assert "Generate explode(transform" not in executed and found.count() == 51
+
+
 def test_query_facets(spark):
     queries = spark.createDataFrame(
         [("1", "бескамерная шина superguider"), ("2", "ozka ind80"), ("3", "шина для мини-погрузчика 16.5"),
