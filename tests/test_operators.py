@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import constants as K
-from quarry.operators import catalog, evaluation, feed, index, query_facets, ranking, spelling, substrings, vocabulary
+from quarry.operators import catalog, evaluation, feed, index, query_facets, ranking, spelling, substrings, understanding, vocabulary
 from quarry.sources import index_store
 
 
@@ -400,3 +400,15 @@ def test_seed_synonyms_and_expansion(spark):
     lookup = {r.word: r for r in vocabulary.expansion_lookup(rules).collect()}
     assert lookup["флешка"].canonical == "usb" and "флэшка" in lookup["usb"].aliases
     assert lookup["рабочая"].canonical == "рабочий"
+
+
+def test_steps_of_spelling_are_planned_once(spark, words):
+    """A plan that repeats its steps holds the broadcasts of all of them on the driver at a time."""
+    tokens, _, unknown, dictionary = words
+    known = dictionary.withColumn("lemma", F.col("term"))
+    asked = unknown.select("token")
+    for found in (spelling.suggest(unknown, known), understanding.resolve_tokens(asked, known)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan and plan.count("Join") <= 3
+    resolved = {r.token for r in understanding.resolve_tokens(asked, known).collect()}
+    assert resolved == set(tokens)
