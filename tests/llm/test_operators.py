@@ -346,6 +346,23 @@ def test_near_copies_of_five_word_similarity(spark):
     assert len(set(root)) < 80 and kept.columns == corpus(spark, texts).columns
 
 
+def test_near_copies_are_proposed_by_fingerprints_too(spark):
+    """Copies within 3 bits are proposed by their fingerprints, and joined if they are similar."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
+    changed, spaced = [*words[:-1], "other"], "  ".join(words) + "\n"
+    texts = [" ".join(words), " ".join(changed), spaced, " ".join(reversed(words)), "one two", None, ""]
+    bits = [simhash.fingerprint((t or "").encode()) for t in texts]
+    assert (bits[0] ^ bits[1]).bit_count() <= simhash.DISTANCE
+    distinct = spark.createDataFrame([(i, b - (b >> 63 << 64)) for i, b in enumerate(bits)], "set_key long, bits long")
+    pairs = {(r.a, r.b) for r in similar.fingerprint_pairs(distinct).collect()}
+    assert (0, 2) in pairs and (0, 1) in pairs and (5, 6) in pairs
+    docs = corpus(spark, texts)
+    found = {r.doc_id: r.component for r in similar.components_of(docs).collect()}
+    assert found[0] == found[1] == found[2] and found[5] == found[6] and len(set(found.values())) == 4
+    assert {r.doc_id for r in similar.first_of_each(docs).collect()} == {0, 3, 4, 5}
+
+
 def test_near_copies_without_or_under_one_id(spark, vocabulary):
     rng = random.Random(10)
     a, b, c, d = (prose(rng, 60, vocabulary) for _ in range(4))
