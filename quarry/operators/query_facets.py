@@ -74,10 +74,11 @@ def phrase_matches(queries: DataFrame, phrases: DataFrame) -> DataFrame:
     """
     asked = queries.select("plain").distinct().withColumn("needle", F.monotonically_increasing_id())
     asked = materialize(asked, "needles")
+    phrases = materialize(phrases.select("kind", "value", "phrase"), "phrases")
     places = F.sequence(F.lit(1), F.greatest(F.length("plain"), F.lit(1)))
     heads = asked.select("needle", F.explode(F.array_distinct(F.flatten(F.transform(places, lambda i: _heads(F.col("plain"), i))))).alias("head"))
     known = phrases.select(F.left("phrase", F.lit(HEAD)).alias("head"), F.length("phrase").alias("n")).distinct()
-    lengths = known.groupBy("head").agg(F.collect_list("n").alias("lengths"))
+    lengths = materialize(known.groupBy("head").agg(F.collect_list("n").alias("lengths")), "phrase-lengths")
     cuts = heads.join(lengths, "head").groupBy("needle").agg(F.map_from_entries(F.collect_list(F.struct("head", "lengths"))).alias("cuts"))
     none = F.array().cast("array<int>")
 
@@ -86,8 +87,8 @@ def phrase_matches(queries: DataFrame, phrases: DataFrame) -> DataFrame:
         return F.transform(F.array_distinct(F.flatten(by_head)), lambda n: F.substring("plain", i, n))
 
     cut = asked.join(cuts, "needle").select("plain", F.explode(F.array_distinct(F.flatten(F.transform(places, pieces)))).alias("phrase"))
-    keyed = [df.withColumn("hash", F.xxhash64("phrase")) for df in (cut, phrases.select("kind", "value", "phrase"))]
-    return keyed[0].join(keyed[1], ["hash", "phrase"]).select("plain", "kind", "value")
+    keyed = [df.withColumn("hash", F.xxhash64("phrase")) for df in (cut, phrases)]
+    return materialize(keyed[0].join(keyed[1], ["hash", "phrase"]).select("plain", "kind", "value"), "phrase-matches")
 
 
 def contained_phrases(queries: DataFrame, phrases: DataFrame, first_categories: bool = True) -> DataFrame:

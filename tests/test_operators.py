@@ -412,3 +412,18 @@ def test_steps_of_spelling_are_planned_once(spark, words):
         assert "Generate" not in plan and plan.count("Join") <= 3
     resolved = {r.token for r in understanding.resolve_tokens(asked, known).collect()}
     assert resolved == set(tokens)
+
+
+def test_phrases_and_their_matches_are_made_once(spark):
+    """A plan with all steps broadcasts the phrases several times, from the driver."""
+    goods = spark.createDataFrame([("Dell", "P2723", "Мониторы"), (None, "", "Шины")], "manufacturer string, model string, category_name string")
+    asked = spark.createDataFrame([("монитор dell p2723 мониторы",), ("шины",)], "plain string")
+    found = query_facets.phrase_matches(asked, query_facets.catalog_phrases(goods))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    assert {tuple(r) for r in found.collect()} == {
+        (q, kind, v) for q, kind, v in [
+            ("монитор dell p2723 мониторы", "brand", "Dell"), ("монитор dell p2723 мониторы", "model", "P2723"),
+            ("монитор dell p2723 мониторы", "category", "Мониторы"), ("шины", "category", "Шины"),
+        ]
+    }
