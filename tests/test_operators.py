@@ -3,10 +3,12 @@
 import itertools
 import math
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
+from checks import queries
 from quarry.functions import constants as K
 from quarry.operators import catalog, evaluation, feed, index, query_facets, ranking, spelling, substrings, understanding, vocabulary
 from quarry.sources import index_store
@@ -427,3 +429,16 @@ def test_phrases_and_their_matches_are_made_once(spark):
             ("монитор dell p2723 мониторы", "category", "Мониторы"), ("шины", "category", "Шины"),
         ]
     }
+
+
+def test_cold_start_asks_for_the_new_customer_only(spark, monkeypatch):
+    asked = []
+
+    def recommend(customers, *_):
+        asked.extend(r.customer_inn for r in customers.collect())
+        return spark.createDataFrame([("p", 1.0, 1)], "ste_id string, score double, rank int")
+
+    for name in ("search_tables", "contracts", "overlay"):
+        monkeypatch.setattr(queries, name, lambda *_: SimpleNamespace(products=None))
+    monkeypatch.setattr(queries.recommend_plan, "recommend", recommend)
+    assert queries.cold_start_feed(spark, "").collect() == [("p", 1.0, 1)] and asked == [K.NEW_CUSTOMER]
