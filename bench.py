@@ -20,7 +20,7 @@ JOBS = [
     ("build_profiles", Q.profile_tables), ("build_search_tables", Q.search_tables),
     ("session_weights", Q.session_weights), ("query_log", Q.query_log),
     ("understand_queries", Q.understood), ("search_baseline", Q.ranked_baseline),
-    ("search_personalised", Q.first_personal), ("feed_all_customers", Q.whole_feed),
+    ("search_personalised", Q.first_personal), ("feed_all_customers", Q.first_feed),
 ]
 QUERIES = [
     "customer_token_weights", "term_dictionary", "corpus_search", "search_facets", "session_signals",
