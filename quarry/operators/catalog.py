@@ -62,6 +62,11 @@ def standardize_contracts(raw: DataFrame) -> DataFrame:
     )
 
 
+def normalized_name(cell: Column) -> Column:
+    """The ``purchase_name_norm`` of a raw purchase name."""
+    return text.normalize(text.clean(cell))
+
+
 def latest_per_key(df: DataFrame, key: str | list[str], order: Column, keep_first: list[str]) -> DataFrame:
     """Last row per key, of one column or several, by ``order``; ``keep_first`` columns from the first row.
 

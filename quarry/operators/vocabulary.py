@@ -36,8 +36,10 @@ def lexicon(products: DataFrame, limit: int = 25_000) -> DataFrame:
 def term_occurrences(products: DataFrame, contracts: DataFrame, seeds: DataFrame) -> DataFrame:
     """(term, source bit, forced type, position) for every field value of every source.
 
-    Equal contract names are counted before they are split into terms; ``n`` carries the count.
+    Equal contract names are counted before they are split into terms; ``n`` carries the count. ``contracts`` may be
+    such counts already (purchase_name_norm, n).
     """
+    counted = F.sum("n") if "n" in contracts.columns else F.count("*")
     no_type = F.lit(None).cast("string")
 
     def field(tokens, source, forced, number):
@@ -69,7 +71,7 @@ def term_occurrences(products: DataFrame, contracts: DataFrame, seeds: DataFrame
     ).select("phase", "row", "n", "f.*")
     from_contracts = (
         contracts.groupBy("purchase_name_norm")
-        .agg(F.count("*").alias("n"))
+        .agg(counted.alias("n"))
         .select(
             F.lit(1).alias("phase"), F.col("purchase_name_norm").alias("row"), "n",
             text.tokens(F.col("purchase_name_norm")).alias("tokens"),
