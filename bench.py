@@ -17,7 +17,7 @@ from checks import queries as Q
 
 JOBS = [
     ("load_products", Q.products), ("load_contracts", Q.contracts),
-    ("build_profiles", Q.profile_tables), ("build_search_tables", Q.search_tables),
+    ("build_profiles", Q.profile_tables), ("build_search_tables", lambda spark, d: Q.search_tables(spark, d).index),
     ("session_weights", Q.session_weights), ("query_log", Q.query_log),
     ("understand_queries", Q.understood), ("search_baseline", Q.ranked_baseline),
     ("search_personalised", Q.first_personal), ("feed_all_customers", Q.first_feed),
