@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import constants as K
 from quarry.functions import text
 from quarry.operators.ranking import top_k
+from quarry.session import materialize
 
 
 def seed_synonyms(spark: SparkSession) -> DataFrame:
@@ -223,9 +224,10 @@ def expansion_lookup(rules: DataFrame) -> DataFrame:
 def with_search_text(products: DataFrame, rules: DataFrame) -> DataFrame:
     """Products with ``search_text``: tokens and lemmas of all fields, canonical forms, aliases.
 
-    Words are expanded once per distinct word and joined back. A word that is in a large share
-    of the products is a small row joined to many, which adaptive execution splits.
+    The expansions are written, so that Spark sees how few they are and no word is shuffled to meet them. A word that
+    is in a large share of the products is a small row joined to many, which adaptive execution splits.
     """
+    lookup = materialize(expansion_lookup(rules), "expansions")
     everything = F.concat_ws(
         " ",
         F.col("title_norm"), F.col("category_norm"),
@@ -238,7 +240,7 @@ def with_search_text(products: DataFrame, rules: DataFrame) -> DataFrame:
     )
     expanded = (
         with_lemmas.select("ste_id", F.posexplode("words").alias("pos", "word"))
-        .join(expansion_lookup(rules), "word", "left")
+        .join(lookup, "word", "left")
         .select(
             "ste_id", "pos",
             F.concat(
@@ -252,7 +254,7 @@ def with_search_text(products: DataFrame, rules: DataFrame) -> DataFrame:
             F.array_distinct(
                 F.flatten(
                     F.transform(
-                        F.array_sort(F.collect_list(F.struct("pos", "forms"))),
+                        F.sort_array(F.collect_list(F.struct("pos", "forms"))),
                         lambda item: item["forms"],
                     )
                 )
