@@ -76,7 +76,8 @@ def search(
                     "vec_id": np.concatenate([i for _, i, _ in found]), "score": np.concatenate([s for _, _, s in found]),
                 })
 
-    pairs = asked.join(index, "block").select("asked", "data")
+    # Packed rows are far larger than Spark judges them by their compressed files, so neither side is ever sent to the driver.
+    pairs = asked.join(index.hint("merge"), "block").select("asked", "data")
     met = pairs.mapInPandas(meet, f"query_id long, vec_id long, score {score_type}")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

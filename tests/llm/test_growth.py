@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quarry.llm import line_dedup
+from quarry.llm import cover_tree, line_dedup, permutation_index
 
 
 def test_words_are_moved_for_near_lines_alone(spark, monkeypatch):
@@ -30,3 +30,12 @@ def test_words_are_moved_for_near_lines_alone(spark, monkeypatch):
     written.clear()
     assert [tuple(r) for r in line_dedup._verified(docs, sets, pairs).collect()] == [(12, 3)]
     assert written["near-pairs"].count() <= 3 and written["compared-words"].count() <= 6
+
+
+def test_packed_vectors_are_not_sent_to_the_driver(spark):
+    """Before, either side of the join of packed trees was broadcast while its compressed files were below Spark's limit."""
+    vectors = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(60)], "vec_id long, embedding array<double>")
+    for found in (cover_tree.top_k(vectors, F.col("vec_id") == 5, 3), permutation_index.nearest(vectors, F.col("vec_id") == 5)):
+        rows = found.collect()
+        assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        assert rows and {r.query_id for r in rows} == {5}
